@@ -79,7 +79,7 @@ class SnapshotStreamReader(DataSourceStreamReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        want = to_arrow_schema(self.schema, timezone="UTC")
+        want = to_arrow_schema(self.schema)
         for batch in pq.ParquetFile(partition.path).iter_batches():
             table = pa.Table.from_batches([batch])
             columns = [table[f.name].cast(f.type) if f.name in table.column_names else pa.nulls(len(table), f.type) for f in want]
