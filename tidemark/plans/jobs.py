@@ -13,6 +13,7 @@ from ..operators import checks, contract, daily_weather, keyed
 from ..operators.rules import split, with_reasons
 from ..sources.config import Source
 from ..sources.raw import read_raw
+from ..store import ddl, maintenance
 from ..store.lake import Lake, Table
 from .entities import POPULATIONS, READINGS, Entity
 
@@ -101,3 +102,17 @@ def build_gold(lake: Lake) -> dict[str, Any]:
         return {"rows": gold.count(), "published": changed, "snapshot_id": target.load().current["id"]}
     finally:
         gold.unpersist()
+
+
+def apply_ddl(lake: Lake, folder: str | Path, values: dict[str, str] | None = None, dry_run: bool = False) -> dict[str, Any]:
+    """Applies the migrations in a folder that haven't been applied yet."""
+    names = {"bronze_db": BRONZE, "silver_db": SILVER, "gold_db": GOLD, "ops_db": "ops"} | (values or {})
+    return ddl.apply(lake, ddl.load(folder), names, dry_run)
+
+
+def maintain_tables(lake: Lake, options: maintenance.Options = maintenance.Options(), databases: list[str] | None = None, tables: list[str] | None = None, watermark_table: tuple[str, str] = ("ops", "watermarks"), current: dt.datetime | None = None) -> list[dict[str, Any]]:
+    """Maintains all tables; what a stream hasn't read yet doesn't expire."""
+    from ..streaming.cleaner import watermark_of
+
+    marks = lake.table(*watermark_table)
+    return maintenance.maintain(lake, options, databases, tables, lambda t: watermark_of(marks, t), current)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 from collections import Counter
 from pathlib import Path
 from typing import Any
@@ -68,8 +69,9 @@ def clean_stream(lake: Lake, checkpoint: str | Path, watermarks: Table, bronze_t
         query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
         query.awaitTermination()
         progress = query.lastProgress
-        end = json.loads(progress["sources"][0]["endOffset"]) if progress and isinstance(progress["sources"][0]["endOffset"], str) else (progress["sources"][0]["endOffset"] if progress else None)
-        reached = end["snapshot_id"] if end else start
+        # A Python source's offset comes back as the text of a dict.
+        end = re.search(r"snapshot_id\W+(\d+)", str(progress["sources"][0]["endOffset"])) if progress else None
+        reached = int(end[1]) if end else start
         report = dict(totals)
         moved = advance(watermarks, f"clean_{entity.name}", source, reached, report) if reached else False
         return report | {"snapshot_id": reached, "watermark_moved": moved}
