@@ -144,5 +144,5 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_max(places).cast("long").alias("last_word"),
         text(base_labels).alias("base_labels"),
         text(F.concat(base_labels, more)).alias("labels"),
-        F.when(F.size(base_labels) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("r.m.found", lambda z: z["score"])), F.lit(0.0))).alias("score"),
+        F.when(F.size(base_labels) > 0, 1.0).otherwise(F.least(F.coalesce(F.array_max(F.transform("r.m.found", lambda z: z["score"])), F.lit(0.0)), F.lit(1.0))).alias("score"),
     )
