@@ -102,9 +102,7 @@ def differs(new: DataFrame, current: DataFrame, ignore: Sequence[str] = ("_built
 
 def latest_per_key(df: DataFrame, key: str, at: str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """The newest row of each key by partial aggregation; rows without key or time don't count."""
-    rest = [c for c in df.columns if c not in (key, at, *tiebreak)]
     order = F.struct(at, *tiebreak)
     best = F.max_by(F.struct(*[F.col(c) for c in df.columns]), order)
     found = df.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("__key")).agg(best.alias("b"))
-    del rest
     return found.select("b.*")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from ..operators.secure import secure_view
 from ..sources.messages import with_problems
 from ..store.lake import Lake, Table
 from ..store.maintenance import Options, compact
+from ..store.stream_source import NAME, SnapshotSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -305,13 +308,12 @@ def strict_json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lake(spark: SparkSession) -> Lake:
-    """A store in the shared folder, where the cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.removeprefix("file:") if shared and (shared.startswith(("/", "file:"))) else tempfile.gettempdir()
-    base = "/" + base.lstrip("/")
-    import os
-
-    os.makedirs(base, exist_ok=True)
+    """A store in the shared folder that the cluster names, or in the warehouse where it names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if not shared.startswith(("/", "file:")):
+        raise ValueError(f"the table store needs a shared POSIX folder, not {shared}")
+    base = Path("/" + shared.removeprefix("file:").lstrip("/"))
+    base.mkdir(parents=True, exist_ok=True)
     return Lake(spark, tempfile.mkdtemp(prefix="tidemark-lake-", dir=base))
 
 
@@ -356,8 +358,6 @@ def compaction_preserves_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select * from orders where o_orderdate between timestamp '1997-01-01' and timestamp '1997-03-31'  and o_orderkey % 3 <> 0")
 def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import datetime as dt
-
     table, _ = _orders_table(spark, sf_dir)
     return table.read(prune={"o_orderdate": (dt.datetime(1997, 1, 1), dt.datetime(1997, 3, 31))})
 
@@ -365,8 +365,6 @@ def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select * from events where event_id % 2 = 0 or event_id % 3 = 0")
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appends, with a compaction between, read by the snapshot stream into a table."""
-    from ..store.stream_source import NAME, SnapshotSource
-
     events = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     lake = _lake(spark)
     table = lake.create("00_bronze", "events", events.schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.messages import RECORD, latest_per_station, read_queue, split_messages
+from ..sources.messages import latest_per_station, read_queue, split_messages
 from ..store.lake import Lake
 
 ATTEMPTS = 3
@@ -78,5 +78,3 @@ def run_consumer(lake: Lake, queue: str | Path, checkpoint: str | Path, dead_let
     query.awaitTermination()
     return reports
 
-
-assert RECORD
