@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -283,3 +284,13 @@ def let(value: Column, use) -> Column:
     computed again for each element; a lambda's own variable isn't.
     """
     return F.transform(F.array(value), use)[0]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver find what is no longer used, so that Spark deletes its shuffle files.
+
+    Shuffle files go when the driver's garbage is collected; an operator of several
+    phases would otherwise hold those of all phases at once.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

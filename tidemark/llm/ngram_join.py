@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, blocks, lowered, mix, shingle_sets, store
+from .common import BROADCAST_IDS, blocks, lowered, mix, shingle_sets, store, tidy
 
 COUNTERS = 1 << 22
 CHUNKS = 64
@@ -163,10 +163,15 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is at least 3/4."""
-    one, two = (sets.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("u").alias(f"u{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(two, "b").join(one, "a")
-    both = both.withColumn("i", F.size(F.array_intersect("ua", "ub")))
+    """The pairs (a, b) whose exact Jaccard similarity is at least 3/4.
+
+    Pairs whose sketches differ too much go first; only the others meet whole sets.
+    """
+    one, two = (sets.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    close = pairs.select("a", "b").join(two, "b").join(one, "a").where((7 * differ <= F.col("na") + F.col("nb")) & (4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
+    left, right = (sets.select(F.col("s").alias(x), F.col("u").alias(f"u{x}")) for x in "ab")
+    both = close.select("a", "b", "na", "nb").join(right, "b").join(left, "a").withColumn("i", F.size(F.array_intersect("ua", "ub")))
     return both.where("100 * i >= 75 * (na + nb - i)").select("a", "b")
 
 
@@ -218,7 +223,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumns({"centre": F.expr("min(s) over (partition by key)"), "most": F.expr("max(s) over (partition by key)")})
         .where("centre <> most")
         .select("key", "s", "centre")
+        .distinct()
     )
+    tidy(spark)
     if members.df.isEmpty():
         return documents.df, spark.createDataFrame([], "s long, root long")
     involved = store(members.df.select("s").distinct())
@@ -233,23 +240,28 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not sets.df.groupBy("s").count().where("count > 1").isEmpty():  # rows that share an id or have none
         sets = store(sets.df.dropDuplicates(["s"]))
 
-    star = members.df.groupBy("s").agg(F.min("centre").alias("a")).where("a <> s").select("a", F.col("s").alias("b"))
+    # Each class against the centre that it shares most keys with.
+    shared = members.df.where("centre <> s").groupBy("s", "centre").count()
+    star = shared.groupBy("s").agg(F.max_by("centre", F.struct("count", "centre")).alias("a")).select("a", F.col("s").alias("b"))
     links = store(_verified(star, sets.df))
     roots = connected(links.df)
+    tidy(spark)
 
     # What still lies apart under a common key.
-    label = members.df.select("key", "s").distinct().join(roots, "s", "left").select("key", "s", F.coalesce("root", "s").alias("root"))
+    label = members.df.join(roots, "s", "left").select("key", "s", F.coalesce("root", "s").alias("root"))
     label = label.withColumns({"lo": F.expr("min(root) over (partition by key)"), "hi": F.expr("max(root) over (partition by key)")}).where("lo <> hi").select("key", "s", "root")
-    apart = store(label.join(sets.df.select("s", "n", "bits"), "s"))
+    apart = store(label)
     if not apart.df.isEmpty():
-        one, two = (apart.df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("s", "root", "n", "bits")]) for x in "ab")
-        pairs = one.join(two, "key").where("s_a < s_b and root_a <> root_b and 4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
-        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-        pairs = pairs.where(7 * differ <= F.col("n_a") + F.col("n_b")).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct()
-        more = store(_verified(pairs, sets.df))
+        one, two = (apart.df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("s", "root")]) for x in "ab")
+        pairs = one.join(two, "key").where("s_a < s_b and root_a <> root_b").select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct()
+        pairs = store(pairs)
+        apart.drop()
+        tidy(spark)
+        more = store(_verified(pairs.df, sets.df))
         if not more.df.isEmpty():
             links = store(links.df.unionByName(more.df))
             roots = connected(links.df)
+        pairs.drop()
     members.drop()
     sets.drop()
     return documents.df, roots
