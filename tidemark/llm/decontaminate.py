@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, keep_ids, lower_ascii, lowered, run_hashes, shingle_sets, store, window_hashes
+from .common import blocks, keep_ids, lowered, run_hashes, shingle_sets, store, window_hashes
 
 SHINGLE = 5
 CONTAINMENT = 0.75

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, let, store, uniform, words_of
+from .common import let, store, uniform, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
