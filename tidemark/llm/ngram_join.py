@@ -1,13 +1,14 @@
 """N-gram Jaccard join by parity sketches: every pair with Jaccard >= 3/4, lossless.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes).  Its parity
-sketch for a size band is a row of k words of 64 bits: each shingle belongs to one
-word and is XORed into it, so a shingle in both documents cancels out of the
-comparison and words differ in at most |A xor B| places.  Jaccard >= 3/4 means
-|A xor B| <= (|A| + |B|) / 7, which is at most |A| / 3 for the partner sizes that are
-possible.  By pigeonhole two such documents agree in all but that many words, so when
-the non-empty words (with their places) are put in one global order, their first
-|A| // 3 + 1 words share one: these are the join keys.
+sketch for a size band is a sparse row of 64-bit words: each shingle belongs to one word
+(by the high bits of its hash) and is XORed into it, so a shingle in both documents
+cancels out of the comparison.  The row is so wide that nearly every word in use has one
+shingle, and the words of A that B doesn't have are as many as |A - B|: at Jaccard >= 3/4
+at most |A| / 4, as the intersection has 3/4 of either set.  By pigeonhole, when the
+words in use (with their places) are put in one global order, the first |A| // 4 + 1 of
+either document share one: these, and two more against shingles that meet in a word,
+are the join keys.
 
 Bands are powers of four; a document within 4/3 of the next band takes part in that
 one too, so any two sizes that can match meet in a band.  The global order is by how
@@ -16,9 +17,9 @@ common a word's rarest shingle is in the whole corpus, from a count sketch of
 ever become keys.  The order changes only cost; any order is lossless.
 
 Equal sets share their 64-bit set hash and count as one class.  Classes that share a
-key are first compared with the least class of their keys (a star), verified exactly,
+key are first compared with the central class of their keys (a star), verified exactly,
 and linked; then all classes that share a key and are still in different components
-are compared, after a filter by the Hamming distance of 1,024-bit parity sketches, so
+are compared, after a filter by the Hamming distance of their bit parity sketches, so
 no link is lost and a group of copies costs a pair per member, not all pairs.
 Components come from rounds of least-neighbour labels with pointer jumps.
 
@@ -37,12 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, blocks, lowered, mix, shingle_sets, store, tidy
+from .common import BROADCAST_IDS, Stored, blocks, lowered, mix, shingle_sets, store, tidy
 
 COUNTERS = 1 << 22
 CHUNKS = 64
-SKETCH_WORDS = 16
+SKETCH_BITS = 1 << 16
+#: A table of pairs up to this length is broadcast (32 bytes a row).
+BROADCAST_PAIRS = 500_000
 BAND_BITS = 2
+#: A sketch word takes the shingles that agree in all but so many low bits of their hashes.
+WORD_SHIFT = 20
+#: Keys beyond the bound, for shingles that meet in a word.
+SPARE_KEYS = 2
 KEYS_SCHEMA = "key long, s long"
 
 
@@ -63,26 +70,27 @@ def band_keys(u: np.ndarray, counts: np.ndarray) -> np.ndarray:
     bands = [own, own + 1] if 4 * n >= 3 << BAND_BITS * (own + 1) else [own]
     out = []
     commonness = counts[(u & np.uint64(len(counts) - 1)).astype(np.int64)]
-    high = u >> np.uint64(32)
     with np.errstate(over="ignore"):
+        place = u >> np.uint64(WORD_SHIFT)
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        word = np.bitwise_xor.reduceat(u, first)
+        common = np.minimum.reduceat(commonness, first).astype(np.uint64) << np.uint64(44)
         for band in bands:
-            k = max(16, 2 << BAND_BITS * (band + 1))
-            place = high * np.uint64(k) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            word = np.bitwise_xor.reduceat(u, first)
             key = mix(word ^ mix(place[first] * np.uint64(64) + np.uint64(band)))
-            rank = np.minimum.reduceat(commonness, first).astype(np.uint64) << np.uint64(44) | key >> np.uint64(20)
-            need = n // 3 + 1
+            need = n // 4 + 1 + SPARE_KEYS
             if need < len(key):
-                key = key[np.argpartition(rank, need - 1)[:need]]
+                key = key[np.argpartition(common | key >> np.uint64(20), need - 1)[:need]]
             out.append(key)
     return np.concatenate(out)
 
 
 def parity_sketch(u: np.ndarray) -> np.ndarray:
-    """1,024 bits; each shingle flips one."""
-    bit = (mix(u) >> np.uint64(54)).astype(np.int64)
-    odd = np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1
+    """Bits that each shingle flips one of: 1,024, and 4 times more per band from 1,024 shingles on."""
+    size = 1024
+    while size < SKETCH_BITS and size <= len(u):
+        size *= 4
+    bit = (mix(u) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+    odd = np.bincount(bit, minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -148,31 +156,79 @@ def _keys(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(emit, KEYS_SCHEMA)
 
 
+def _sketches(docs: DataFrame) -> DataFrame:
+    """s, n and bit sketch of each text given."""
+
+    def emit(batches):
+        for batch in batches:
+            for block in map(lowered, blocks(batch.column(0))):
+                rows = [(set_hash(u), len(u), parity_sketch(u)) for u in shingle_sets(block) if len(u)]
+                if rows:
+                    s, n, bits = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["s", "n", "bits"])
+
+    return docs.select("text").mapInArrow(emit, "s long, n long, bits array<long>")
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """s, n, shingles and bit sketch of each document given."""
+    """s and shingles of each text given."""
 
     def emit(batches):
         for batch in batches:
             for block in map(lowered, blocks(batch.column(0))):
-                rows = [(set_hash(u), len(u), u.view(np.int64), parity_sketch(u)) for u in shingle_sets(block) if len(u)]
+                rows = [(set_hash(u), u.view(np.int64)) for u in shingle_sets(block) if len(u)]
                 if rows:
-                    s, n, sets, bits = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["s", "n", "u", "bits"])
+                    s, sets = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["s", "u"])
+
+    return docs.select("text").mapInArrow(emit, "s long, u array<long>")
+
+
+class _Texts:
+    """One text for each class: that of its least id, or any text without an id."""
 
-    return docs.select("text").mapInArrow(emit, "s long, n long, u array<long>, bits array<long>")
+    def __init__(self, narrow: DataFrame, documents: DataFrame, involved: DataFrame):
+        tagged = documents.join(_small(involved.withColumnRenamed("s", "c")), F.col("s") == F.col("c"), "left_semi")
+        self.narrow = narrow
+        self.named = store(tagged.where("doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("id")))
+        self.nameless = not tagged.where("doc_id is null").isEmpty()
 
+    def table(self, make, wanted: DataFrame) -> Stored:
+        """``make`` of the texts of the classes wanted, one row for each."""
+        wanted = _small(wanted.select(F.col("s").alias("c")))
+        ids = store(self.named.df.join(wanted, F.col("s") == F.col("c"), "left_semi").select("id").distinct())
+        texts = self.narrow.join(_small(ids.df), F.col("doc_id") == F.col("id"), "left_semi")
+        if self.nameless:
+            texts = texts.unionByName(self.narrow.where("doc_id is null"))
+        out = store(make(texts).join(wanted, F.col("s") == F.col("c"), "left_semi"))
+        if not out.df.groupBy("s").count().where("count > 1").isEmpty():  # rows that share an id or have none
+            out = store(out.df.dropDuplicates(["s"]))
+        return out
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: _Texts) -> Stored:
     """The pairs (a, b) whose exact Jaccard similarity is at least 3/4.
 
-    Pairs whose sketches differ too much go first; only the others meet whole sets.
+    Pairs whose sizes or sketches differ too much go first; only the classes of the others
+    have their whole sets built, and each set moves once for each of its pairs.
     """
-    one, two = (sets.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    one, two = (sketches.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
     differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    close = pairs.select("a", "b").join(two, "b").join(one, "a").where((7 * differ <= F.col("na") + F.col("nb")) & (4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
-    left, right = (sets.select(F.col("s").alias(x), F.col("u").alias(f"u{x}")) for x in "ab")
-    both = close.select("a", "b", "na", "nb").join(right, "b").join(left, "a").withColumn("i", F.size(F.array_intersect("ua", "ub")))
-    return both.where("100 * i >= 75 * (na + nb - i)").select("a", "b")
+    # Sketches of two lengths aren't compared; such pairs are verified.
+    near = (F.size("bitsa") != F.size("bitsb")) | (7 * differ <= F.col("na") + F.col("nb"))
+    close = pairs.select("a", "b").join(two, "b").join(one, "a").where((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")) & near)
+    close = store(close.select("a", "b", "na", "nb"))
+    wanted = store(close.df.select(F.col("a").alias("s")).union(close.df.select("b")).distinct())
+    sets = texts.table(_sets, wanted.df)
+    few = close.df.count() <= BROADCAST_PAIRS
+    right = sets.df.select(F.col("s").alias("b"), F.col("u").alias("ub")).join(F.broadcast(close.df) if few else close.df, "b")
+    centres = close.df.select(F.col("a").alias("c")).distinct()
+    left = sets.df.join(F.broadcast(centres) if few else centres, F.col("s") == F.col("c"), "left_semi").select(F.col("s").alias("a"), F.col("u").alias("ua"))
+    both = right.join(left, "a").withColumn("i", F.size(F.array_intersect("ua", "ub")))
+    out = store(both.where("100 * i >= 75 * (na + nb - i)").select("a", "b"))
+    sets.drop()
+    close.drop()
+    return out
 
 
 def connected(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -220,30 +276,27 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Keys of two classes or more, each row with the least class of its key.
     members = store(
         _keys(narrow, counts)
-        .withColumns({"centre": F.expr("min(s) over (partition by key)"), "most": F.expr("max(s) over (partition by key)")})
-        .where("centre <> most")
-        .select("key", "s", "centre")
+        .withColumns({"lo": F.expr("min(s) over (partition by key)"), "hi": F.expr("max(s) over (partition by key)"), "size": F.expr("count(*) over (partition by key)")})
+        .where("lo <> hi")
+        .select("key", "s", "size")
         .distinct()
     )
     tidy(spark)
     if members.df.isEmpty():
         return documents.df, spark.createDataFrame([], "s long, root long")
     involved = store(members.df.select("s").distinct())
-    # One text for each class in question; ids aren't needed, so null ids take part.
-    tagged = documents.df.join(involved.df, "s", "left_semi")
-    named = store(tagged.where("doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id")))
-    nameless = tagged.where("doc_id is null").isEmpty()
-    wanted = narrow.join(_small(named.df.select(F.col("doc_id").alias("id")).distinct()), F.col("doc_id") == F.col("id"), "left_semi")
-    if not nameless:
-        wanted = wanted.unionByName(narrow.where("doc_id is null"))
-    sets = store(_sets(wanted).join(_small(involved.df.withColumnRenamed("s", "c")), F.col("s") == F.col("c"), "left_semi"))
-    if not sets.df.groupBy("s").count().where("count > 1").isEmpty():  # rows that share an id or have none
-        sets = store(sets.df.dropDuplicates(["s"]))
-
-    # Each class against the centre that it shares most keys with.
-    shared = members.df.where("centre <> s").groupBy("s", "centre").count()
+    texts = _Texts(narrow, documents.df, involved.df)
+    sketches = texts.table(_sketches, involved.df)
+
+    # The centre of a key is the class that meets most others under its keys: of a group of
+    # near copies, the text that the others come from.  Each class is compared with the
+    # centre that it shares most keys with.
+    weight = store(members.df.groupBy("s").agg(F.sum("size").alias("weight")))
+    weighed = members.df.join(_small(weight.df.withColumnRenamed("s", "c")), F.col("s") == F.col("c")).select("key", "s", F.struct("weight", "s").alias("w"))
+    centred = weighed.withColumn("centre", F.expr("max(w) over (partition by key)")["s"])
+    shared = centred.where("centre <> s").groupBy("s", "centre").count()
     star = shared.groupBy("s").agg(F.max_by("centre", F.struct("count", "centre")).alias("a")).select("a", F.col("s").alias("b"))
-    links = store(_verified(star, sets.df))
+    links = _verified(star, sketches.df, texts)
     roots = connected(links.df)
     tidy(spark)
 
@@ -257,13 +310,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = store(pairs)
         apart.drop()
         tidy(spark)
-        more = store(_verified(pairs.df, sets.df))
+        more = _verified(pairs.df, sketches.df, texts)
         if not more.df.isEmpty():
             links = store(links.df.unionByName(more.df))
             roots = connected(links.df)
         pairs.drop()
     members.drop()
-    sets.drop()
+    sketches.drop()
     return documents.df, roots
 
 
