@@ -271,11 +271,27 @@ def _train(docs: DataFrame, model: Model) -> None:
         shared.unpersist()
 
 
+def _most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
+    """The first ``size`` words by count, then by word.
+
+    A histogram of counts (exact below 64, then 16 cells an octave) gives a count that
+    about so many words reach; only those are sorted, so that a task doesn't send its
+    own first ``size`` words to the driver.
+    """
+    cell = F.when(F.col("n") < 64, F.col("n")).otherwise((F.log2("n") * 16).cast("long")).cast("long")
+    least, seen = 1, 0
+    for r in counts.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("least")).collect():
+        seen, least = seen + r["words"], r["least"]
+        if seen >= size:
+            break
+    return [(bytes(r["word"]), r["n"]) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
 def fit(docs: DataFrame, usable: Column) -> tuple[Model, DataFrame]:
     """(model, counts) from the rows of ``docs`` for which ``usable`` holds."""
     train = docs.where(usable).select(F.col("text").cast("string").alias("text"))
     counts = store(train.mapInArrow(_count, "word binary, b int, n long").groupBy("word", "b").agg(F.sum("n").alias("n"))).df
-    head = [(bytes(r["word"]), r["n"]) for r in counts.where("b >= 0").orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    head = _most_frequent(counts.where("b >= 0"), HEAD)
     top = {w for w, _ in head[:VOCAB]}
     tokens_of, words_of = np.zeros(BUCKETS), np.zeros(BUCKETS)
     end = total = distinct = 0
