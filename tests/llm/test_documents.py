@@ -51,6 +51,22 @@ def test_divergent_documents_go_and_clean_ones_stay(spark):
     assert all(kept[k] for k, _, _ in clean) and not kept[100] and not kept[101] and not kept[102]
 
 
+def test_texts_of_another_language_or_without_common_words_go(spark):
+    common = {"en": "the of and to in a is that".split(), "de": "der die und den von zu das mit".split()}
+
+    def prose(k, lang, n):
+        own = common[lang]
+        return " ".join(own[(k + 5 * i) % len(own)] if (k + i) % 3 == 0 else w for i, w in enumerate(sentence(k, n).split()))
+
+    good = [(k, prose(k, lang, 150 + k), lang) for k in range(120) for lang in [("en", "de")[k % 2]]]
+    wrong = [(200, prose(1, "de", 250), "en"), (201, prose(2, "en", 250), "de"), (202, sentence(3, 250), "en"), (203, sentence(4, 250), "de")]
+    docs = spark.createDataFrame(good + wrong, "doc_id long, text string, lang string")
+    rows = {r["doc_id"]: r for r in quality_rules.verdicts(docs).collect()}
+    assert all(rows[k]["kept"] for k, _, _ in good)
+    for k, _, _ in wrong:
+        assert not rows[k]["kept"] and not rows[k]["base_failed"] and rows[k]["class_distance"] <= quality_rules.CLASS_LIMIT
+
+
 def test_distance_is_jensen_shannons(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     h = F.array(*[F.lit(x * 8) for x in p])
