@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document or line has go."""
-    return linededup.dedup_lines(docs)
+    return linededup.dedup_lines(docs, linededup.EVERY)
 
 
 def test_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

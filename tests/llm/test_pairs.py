@@ -4,6 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import decontaminate, linededup, ngram_join
 from tidemark.llm.common import shingle_sets
 
@@ -146,6 +147,16 @@ def test_repeated_lines_go_and_spans_rebuild_the_text(spark, odd_docs, empty_doc
     assert linededup.dedup_lines(empty_docs).count() == 0
 
 
+def test_every_line_takes_short_units_and_scripts_without_spaces(spark):
+    long, url = "这是一个很长的句子没有任何空格" * 6, "https://example.org/" + "x" * 90
+    rows = [(1, f"{long}\nok\n\n{url}"), (2, f"{long}\nOK \n\nnew\n{url}"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs, linededup.EVERY).collect()}
+    assert found == {1: rows[0][1], 2: "\nnew", 3: None}
+    docs = docs.withColumns({"lang": F.lit("zh"), "source": F.lit("a"), "n_chars": F.length("text")})
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()} == found
+
+
 def test_shingles_dont_cross_documents():
     import pyarrow as pa
 

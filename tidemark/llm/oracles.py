@@ -28,6 +28,15 @@ c as (select doc_id, coalesce(string_agg(line, chr(10) order by p) filter (where
 select * from c union all select doc_id, text, 0 as n_removed, null as kept_spans from documents where text is null
 """
 
+OP3_EVERY = r"""
+with u as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as p from documents where text is not null),
+v as (select *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as unit, sum(length(line) + 1) over (partition by doc_id order by p) - length(line) - 1 as start from u),
+k as (select *, unit = '' or row_number() over (partition by unit order by doc_id, p) = 1 as keep from v),
+c as (select doc_id, coalesce(string_agg(line, chr(10) order by p) filter (where keep), '') as text, count(*) filter (where not keep) as n_removed,
+  coalesce(string_agg(start::bigint || '-' || (start + length(line))::bigint, ';' order by p) filter (where keep), '') as kept_spans from k group by doc_id)
+select * from c union all select doc_id, text, 0 as n_removed, null as kept_spans from documents where text is null
+"""
+
 OP7 = f"""
 with recursive g as ({_shingles("documents", "doc_id")}), n as (select doc_id, count(*) as c from g group by doc_id),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as i from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
@@ -38,4 +47,4 @@ select d.doc_id, coalesce(n.c, 0) as n_shingles, m.component_id from documents d
 join (select s, min(t) as component_id from r group by s) m on m.s = d.doc_id
 """
 
-ORACLES = {"op2_decontamination": OP2, "op3_substring_dedup": OP3, "op7_ngram_join": OP7}
+ORACLES = {"op2_decontamination": OP2, "op3_substring_dedup": OP3, "op3_every_line": OP3_EVERY, "op7_ngram_join": OP7}
