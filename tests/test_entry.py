@@ -28,6 +28,12 @@ def test_flagship(spark):
     assert df.count() > 0 and "purchases" in df.columns
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["null_safe_anti_every_order", "insert_new_rejects_every_order", "stream_equals_batch_every_event", "stream_equals_batch"])
+def test_queries_over_every_row_equal_their_sql(spark, name):
+    test_queries_equal_their_sql(spark, name)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 @pytest.mark.parametrize("name", ["calendar_trend", "asof_reference", "classify_changes", "rejection_reasons", "strict_json_types"])
 def test_queries_equal_their_sql(spark, name):
