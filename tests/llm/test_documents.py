@@ -67,6 +67,15 @@ def test_texts_of_another_language_or_without_common_words_go(spark):
         assert not rows[k]["kept"] and not rows[k]["base_failed"] and rows[k]["class_distance"] <= quality_rules.CLASS_LIMIT
 
 
+def test_the_general_reference_is_over_all_languages(spark, monkeypatch):
+    rows = [(k, sentence(k, 100) + (" the of and" if k < 40 else " der die und"), "en" if k < 40 else f"l{k}") for k in range(60)]
+    measured = quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id").df
+    whole = quality_rules.references(measured)
+    monkeypatch.setattr(quality_rules, "MAX_LANGUAGES", 1)
+    few = quality_rules.references(measured)
+    assert set(few) == {None, "en"} and few[None] == pytest.approx(whole[None]) and few[None] != few["en"]
+
+
 def test_distance_is_jensen_shannons(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     h = F.array(*[F.lit(x * 8) for x in p])

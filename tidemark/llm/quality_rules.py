@@ -102,7 +102,9 @@ def references(measured: DataFrame) -> dict[str | None, list[float]]:
     stored = sums.withColumn("words", F.aggregate(F.slice("h", N_CLASSES + 1, N_CELLS - N_CLASSES), F.lit(0.0), lambda a, x: a + x))
     # One task, as a language is one row; the languages kept are a fixed number.
     rows = stored.orderBy(F.desc("words"), "__lang").limit(MAX_LANGUAGES).collect()
-    total = [sum(r["h"][k] for r in rows) for k in range(N_CELLS)] if rows else [0.0] * N_CELLS
+    # The general reference is over every language, also those without a reference of their own.
+    every = {r["k"]: r["x"] for r in cells.groupBy("k").agg(F.sum("x").alias("x")).collect()}
+    total = [every.get(k, 0.0) for k in range(N_CELLS)]
     return {None: _scaled(total)} | {r["__lang"]: _scaled(r["h"]) for r in rows}
 
 
