@@ -1,10 +1,10 @@
 import itertools
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tidemark.llm import decontaminate, linededup, ngram_join
 from tidemark.llm.common import shingle_sets
 
@@ -114,47 +114,77 @@ def test_contained_items_equal_brute_force(spark, odd_docs, empty_docs):
     assert decontaminate.find_contained(docs, bench.where("false")).count() == 0
 
 
-def lines_by_force(rows):
-    seen, out = {}, {}
-    norm = lambda x: " ".join(x.lower().split())
-    for d, t in sorted({(d, t) for d, t in rows if d is not None and t is not None}):
-        for k, line in enumerate(t.split("\n")):
-            if len(norm(line).split(" ")) >= linededup.MIN_WORDS:
-                seen.setdefault(norm(line), (d, k))
-    for d, t in rows:
-        if t is not None and d is not None:
-            out[d] = "\n".join(x for k, x in enumerate(t.split("\n")) if seen.get(norm(x), (d, k)) == (d, k))
-    return out
-
-
-def test_repeated_lines_go_and_spans_rebuild_the_text(spark, odd_docs, empty_docs):
-    a, b, c = (sentence(k, 60) for k in (1, 2, 3))
-    rows = [(5, f"{a}\n{b}\nshort one"), (3, f"{b.upper()}  \nshort one\n{c}"), (9, f"{c}\n{c}\n\n{a} "), (4, a), (8, None)]
+def cut_by_force(rows):
+    """(doc_id, text) -> text without the units that an earlier one repeats, unit by unit."""
+    size, found = linededup.UNIT_WORDS, []
+    word = re.compile(r"[　-퟿]|[^\x20\x09-\x0D　-퟿]+")
+    lower = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x)
+    for r, (d, t) in enumerate(rows):
+        if t is None:
+            continue
+        w = [(m.start(), m.end(), lower(m.group())) for m in word.finditer(t)]
+        opens = [i == 0 or "\n" in t[w[i - 1][1] : w[i][0]] for i in range(len(w))]
+        closes = [*opens[1:], True]
+        for i in range(len(w) - size + 1):
+            if opens[i] or closes[i + size - 1] or (len(w[i][2].encode()) + ord(w[i][2][-1])) % linededup.ANCHOR == 0:
+                found.append((tuple(x[2] for x in w[i : i + size]), (d is None, d or 0, t, w[i][0]), r, w[i][0], w[i + size - 1][1]))
+    first = {}
+    for unit, rank, *_ in found:
+        first[unit] = min(first.get(unit, rank), rank)
+    gone = {r: set() for r in range(len(rows))}
+    for unit, rank, r, a, b in found:
+        if rank != first[unit]:
+            gone[r] |= set(range(a, b))
+    return [t if t is None else "".join(c for k, c in enumerate(t) if k not in gone[r]) for r, (_, t) in enumerate(rows)]
+
+
+def test_repeated_passages_go_and_spans_rebuild_the_text(spark, odd_docs, empty_docs):
+    passage, wide = sentence(1, 60), "这是一个很长的句子没有任何空格" * 5
+    rows = [
+        (5, f"{sentence(2, 40)}\n{passage}\nshort one"),
+        (3, f"{sentence(3, 30)} {passage.upper()} {sentence(4, 30)}\nshort one"),
+        (9, f"{passage}\t{sentence(5, 9)}\n{passage}"),
+        (9, sentence(6, 80)),
+        (9, f"{sentence(6, 10)} end"),
+        (4, passage.replace(" ", "\n")),
+        (8, None),
+        (None, f"x {sentence(6, 70)}"),
+        (11, f"前 {wide} 后"),
+        (12, f"{wide}\nshort one"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
-    found = {r["doc_id"]: r for r in linededup.dedup_lines(docs, offsets=True).collect()}
-    want = lines_by_force(rows)
-    assert {d: found[d]["text"] for d in want} == want and found[8]["text"] is None
-    for d, t in rows:
-        if t is not None:
-            assert "\n".join(t[s["start"] : s["stop"]] for s in found[d]["kept_spans"]) == found[d]["text"]
-            assert found[d]["n_chars"] == len(found[d]["text"])
-    assert found[9]["n_removed"] == 3
-    plain = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
-    assert plain == {d: r["text"] for d, r in found.items()}
-    odd = linededup.dedup_lines(odd_docs)
-    assert odd.columns == odd_docs.columns and odd.count() == odd_docs.count()
-    assert {r["doc_id"]: r["text"] for r in odd.where("doc_id is not null and text is not null").collect()} == lines_by_force([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
-    assert linededup.dedup_lines(empty_docs).count() == 0
-
-
-def test_every_line_takes_short_units_and_scripts_without_spaces(spark):
-    long, url = "这是一个很长的句子没有任何空格" * 6, "https://example.org/" + "x" * 90
-    rows = [(1, f"{long}\nok\n\n{url}"), (2, f"{long}\nOK \n\nnew\n{url}"), (3, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs, linededup.EVERY).collect()}
-    assert found == {1: rows[0][1], 2: "\nnew", 3: None}
-    docs = docs.withColumns({"lang": F.lit("zh"), "source": F.lit("a"), "n_chars": F.length("text")})
-    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()} == found
+    want = cut_by_force(rows)
+    assert want[3] == rows[3][1] and want[7] != rows[7][1] and want[9] != rows[9][1] and len(want[0]) < len(rows[0][1]) - 200
+    found = linededup.dedup(docs, offsets=True).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in found) == sorted((str(d), str(t)) for (d, _), t in zip(rows, want))
+    given = {(d, w): t for (d, t), w in zip(rows, want)}
+    for r in found:
+        before = given[r["doc_id"], r["text"]]
+        assert (r["kept_spans"] is None) == (r["n_removed"] == 0)
+        if r["kept_spans"] is not None:
+            assert "".join(before[s["start"] : s["stop"]] for s in r["kept_spans"]) == r["text"]
+            assert r["n_chars"] == len(r["text"])
+    plain = linededup.dedup(docs)
+    assert plain.columns == docs.columns and sorted(str(r["text"]) for r in plain.collect()) == sorted(map(str, want))
+
+
+def test_dedup_of_odd_rows(spark, odd_docs, empty_docs):
+    clashing = odd_docs.withColumns({c: F.lit("x") for c in ("kept_spans", "n_removed", "id", "th", "spans", "__id", "__th", "__spans", "h", "g")})
+    odd = linededup.dedup(clashing)
+    assert odd.columns == clashing.columns and {r["__spans"] for r in odd.collect()} == {"x"}
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    assert sorted(str(r["text"]) for r in odd.collect()) == sorted(map(str, cut_by_force(rows)))
+    assert sorted(linededup.dedup(clashing, offsets=True).columns) == sorted(clashing.columns)
+    assert linededup.dedup(empty_docs).count() == 0
+    names = spark.createDataFrame([("b", sentence(1, 50)), ("a", sentence(1, 50))], "doc_id string, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup(names).collect()} == {"a": sentence(1, 50), "b": ""}
+
+
+def test_dedup_of_a_very_long_text(spark):
+    long = sentence(7, 300_000)
+    docs = spark.createDataFrame([(1, long), (2, f"before {long} after")], "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in linededup.dedup(docs).collect()}
+    assert found[1] == long and found[2].startswith("before") and found[2].endswith("after") and len(found[2]) < 200
 
 
 def test_shingles_dont_cross_documents():

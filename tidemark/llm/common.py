@@ -99,6 +99,19 @@ def keep_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 # --------------------------------------------------------------------------- columns
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that ``df`` doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        k = 0
+        while f"__{name}{k or ''}".lower() in taken:
+            k += 1
+        out.append(f"__{name}{k or ''}")
+        taken.add(out[-1].lower())
+    return out
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)), F.lit(0)).cast("int")
@@ -144,7 +157,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers.get("n", np.zeros(1))[0] < size:
         size = max(size, 1 << 16)
         base = np.full(size, _BASE, dtype=np.uint64)
@@ -224,7 +237,7 @@ def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, segment: i
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + segment, side="right")))
             lo, hi = int(starts[i]), int(ends[j - 1])
-            up, down = _power_tables(hi - lo + 1)
+            up, down = power_tables(hi - lo + 1)
             sums = np.empty(hi - lo + 1, dtype=np.uint64)
             sums[0] = 0
             np.cumsum(values[buf[lo:hi]] * up[: hi - lo], out=sums[1:])

@@ -19,22 +19,24 @@ hits as (select d.doc_id, q.item_id, count(*) as n_shared from d join q using (g
 select doc_id, hits.item_id, n_shared, n_item, n_shared / n_item as containment from hits join n using (item_id) where n_shared >= 0.75 * n_item
 """
 
-OP3 = r"""
-with u as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as p from documents where text is not null),
-v as (select *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as unit, sum(length(line) + 1) over (partition by doc_id order by p) - length(line) - 1 as start from u),
-k as (select *, len(string_split(unit, ' ')) < 4 or row_number() over (partition by unit order by doc_id, p) = 1 as keep from v),
-c as (select doc_id, coalesce(string_agg(line, chr(10) order by p) filter (where keep), '') as text, count(*) filter (where not keep) as n_removed,
-  coalesce(string_agg(start::bigint || '-' || (start + length(line))::bigint, ';' order by p) filter (where keep), '') as kept_spans from k group by doc_id)
-select * from c union all select doc_id, text, 0 as n_removed, null as kept_spans from documents where text is null
-"""
-
-OP3_EVERY = r"""
-with u as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as p from documents where text is not null),
-v as (select *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as unit, sum(length(line) + 1) over (partition by doc_id order by p) - length(line) - 1 as start from u),
-k as (select *, unit = '' or row_number() over (partition by unit order by doc_id, p) = 1 as keep from v),
-c as (select doc_id, coalesce(string_agg(line, chr(10) order by p) filter (where keep), '') as text, count(*) filter (where not keep) as n_removed,
-  coalesce(string_agg(start::bigint || '-' || (start + length(line))::bigint, ';' order by p) filter (where keep), '') as kept_spans from k group by doc_id)
-select * from c union all select doc_id, text, 0 as n_removed, null as kept_spans from documents where text is null
+_SPACE = r"[\x20\x09-\x0D]"
+_UNIT_LOWER = _LOWER.format("word")
+OP3 = rf"""
+with d as (select doc_id, text, row_number() over (order by doc_id, text) as r from documents),
+p as (select r, doc_id, unnest(w) as part, generate_subscripts(w, 1) as i
+  from (select r, doc_id, regexp_extract_all(text, '{_SPACE}*(?:[\x{{3000}}-\x{{D7FF}}]|[^\x20\x09-\x0D\x{{3000}}-\x{{D7FF}}]+)') as w from d where text is not null)),
+w as (select *, regexp_replace(part, '^{_SPACE}+', '') as word, i = 1 or contains(regexp_extract(part, '^{_SPACE}*'), chr(10)) as opens, sum(length(part)) over (partition by r order by i) as stop from p),
+x as (select *, {_UNIT_LOWER} as low, coalesce(lead(opens) over (partition by r order by i), true) as closes from w),
+y as (select r, doc_id, stop - length(word) as start, string_agg(low, ' ') over n as unit, count(*) over n as words, last_value(stop) over n as stop,
+  opens or last_value(closes) over n or (strlen(low) + unicode(right(low, 1))) % 4 = 0 as picked from x window n as (partition by r order by i rows between current row and 31 following)),
+u as (select *, row_number() over (partition by unit order by doc_id, start, r) > 1 as later from y where picked and words = 32),
+h as (select *, coalesce(max(stop) over (partition by r order by start rows between unbounded preceding and 1 preceding), -1) < start as fresh from u where later),
+g as (select r, start, stop, sum(fresh::int) over (partition by r order by start) as island from h),
+holes as (select r, min(start) as a, max(stop) as b from g group by r, island),
+k as (select r, coalesce(lag(b) over (partition by r order by a), 0) as s, a as e from holes union all select r, max(b), any_value(length(text)) from holes join d using (r) group by r),
+c as (select r, coalesce(string_agg(substr(text, (s + 1)::bigint, (e - s)::bigint), '' order by s) filter (where e > s), '') as cut, coalesce(string_agg(s::bigint || '-' || e::bigint, ';' order by s) filter (where e > s), '') as spans from k join d using (r) group by r),
+n as (select r, count(*) as n from holes group by r)
+select doc_id, case when n.n is null then text else cut end as text, coalesce(n.n, 0) as n_removed, spans as kept_spans from d left join n using (r) left join c using (r)
 """
 
 OP7 = f"""
@@ -47,4 +49,4 @@ select d.doc_id, coalesce(n.c, 0) as n_shingles, m.component_id from documents d
 join (select s, min(t) as component_id from r group by s) m on m.s = d.doc_id
 """
 
-ORACLES = {"op2_decontamination": OP2, "op3_substring_dedup": OP3, "op3_every_line": OP3_EVERY, "op7_ngram_join": OP7}
+ORACLES = {"op2_decontamination": OP2, "op3_substring_dedup": OP3, "op7_ngram_join": OP7}

@@ -25,15 +25,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cut_lines(spark, sf_dir, linededup.MIN_WORDS)
-
-
-def op3_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cut_lines(spark, sf_dir, linededup.EVERY)
-
-
-def _cut_lines(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
-    cut = linededup.dedup_lines(_read(spark, sf_dir, "documents"), min_words, offsets=True)
+    cut = linededup.dedup(_read(spark, sf_dir, "documents"), offsets=True)
     spans = F.array_join(F.transform("kept_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string"))), ";")
     return cut.select("doc_id", "text", F.col("n_removed").cast("long").alias("n_removed"), spans.alias("kept_spans"))
 
@@ -79,7 +71,6 @@ QUERIES = {
         op1_language_id,
         op2_decontamination,
         op3_substring_dedup,
-        op3_every_line,
         op4_quality_rules,
         op5_mixing,
         op6_quality_classifier,
