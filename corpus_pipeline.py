@@ -23,9 +23,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.keep_one(docs)
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document or line has go."""
-    return linededup.dedup_lines(docs, linededup.EVERY)
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document or place has go; kept_spans aren't columns of documents, so only the text tells."""
+    return linededup.dedup(docs)
 
 
 def test_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality),
     ("n-gram Jaccard join", near_duplicates),
-    ("substring dedup", repeated_lines),
+    ("substring dedup", repeated_passages),
     ("benchmark decontamination", test_leaks),
     ("mixing sources", mixed),
 ]
