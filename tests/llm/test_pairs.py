@@ -55,11 +55,26 @@ def test_join_equals_brute_force_on_copies_of_many_kinds(spark):
     assert sorted(map(tuple, found)) == sorted(components_by_force(given))
 
 
+def test_join_of_a_hot_key_equals_brute_force(spark, monkeypatch):
+    """A common passage with unlike rests, and copies of it too far from each other; all keys salted."""
+    monkeypatch.setattr(ngram_join, "COMMON_KEY", 3)
+    monkeypatch.setattr(ngram_join, "COMMON_TIMES", 0)
+    rng = random.Random(5)
+    passage = sentence(99, 60)
+    rows = [passage + " " + sentence(300 + k, rng.choice([3, 10, 14, 20, 30])) for k in range(40)]
+    rows += [edited(passage, rng.choice([0.01, 0.03, 0.05, 0.1]), rng) for _ in range(60)] + [passage] * 5
+    rows += [" ".join(passage.split()[k : k + 50]) for k in range(8)]
+    given = [(f"d{k:03}", t) for k, t in enumerate(rows)]
+    found = ngram_join.components(spark.createDataFrame(given, "doc_id string, text string").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == sorted(components_by_force(given))
+
+
 def test_join_on_odd_rows(odd_docs, empty_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     found = ngram_join.components(odd_docs)
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, components_by_force(rows)))
     assert ngram_join.components(empty_docs).count() == 0
+    odd_docs = odd_docs.withColumns({c: F.lit("x") for c in ("gone", "__gone", "__twice", "__id")})
     kept = ngram_join.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, None, None, 5, 7, 8, 9, 10]))
@@ -75,11 +90,12 @@ def test_keys_are_lossless_and_sketches_bound_the_difference():
             b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, rng.integers(0, n // 7 + 1), dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
             if 100 * both >= 75 * (len(a) + len(b) - both):
-                assert np.intersect1d(ngram_join.band_keys(a, counts), ngram_join.band_keys(b, counts)).size
+                one, two = ({int(k): int(m) for k, m in zip(*ngram_join.band_keys(x, counts)[:2])} for x in (a, b))
+                assert any(two[k] >= len(a) and one[k] >= len(b) for k in one.keys() & two.keys())
             one, two = ngram_join.parity_sketch(a), ngram_join.parity_sketch(b)
             flips = sum(bin(int(x ^ y) & (2**64 - 1)).count("1") for x, y in zip(one, two))
             assert len(ngram_join.parity_sketch(a)) != len(ngram_join.parity_sketch(b)) or flips <= len(a) + len(b) - 2 * both
-            assert ngram_join.set_hash(a) == ngram_join.set_hash(a[::-1].copy()) and len(ngram_join.band_keys(a, counts)) <= 2 * (n // 4 + 3)
+            assert ngram_join.set_hash(a) == ngram_join.set_hash(a[::-1].copy()) and len(ngram_join.band_keys(a, counts)[0]) <= 2 * (n // 4 + 1)
 
 
 def test_labels_reach_the_ends_of_a_chain(spark):

@@ -90,10 +90,11 @@ def keep_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     ``ids`` has one column, ``doc_id``, and should be stored: it is counted first and
     broadcast only up to ``BROADCAST_IDS`` rows; beyond that both sides are shuffled.
     """
-    ids = ids.select(F.col("doc_id").alias("__tm_id"))
+    name = fresh(docs, "id")[0]
+    ids = ids.select(F.col("doc_id").alias(name))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"] == F.col("__tm_id"), how)
+    return docs.join(ids, F.col("doc_id") == F.col(name), how)
 
 
 # --------------------------------------------------------------------------- columns

@@ -1,32 +1,40 @@
-"""N-gram Jaccard join by parity sketches: every pair with Jaccard >= 3/4, lossless.
-
-A document is the set of its distinct 5-word shingles (64-bit hashes).  Its parity
-sketch for a size band is a sparse row of 64-bit words: each shingle belongs to one word
-(by the high bits of its hash) and is XORed into it, so a shingle in both documents
-cancels out of the comparison.  The row is so wide that nearly every word in use has one
-shingle, and the words of A that B doesn't have are as many as |A - B|: at Jaccard >= 3/4
-at most |A| / 4, as the intersection has 3/4 of either set.  By pigeonhole, when the
-words in use (with their places) are put in one global order, the first |A| // 4 + 1 of
-either document share one: these, and two more against shingles that meet in a word,
-are the join keys.
-
-Bands are powers of four; a document within 4/3 of the next band takes part in that
-one too, so any two sizes that can match meet in a band.  The global order is by how
-common a word's rarest shingle is in the whole corpus, from a count sketch of
+"""N-gram Jaccard join: every pair with Jaccard >= 3/4, lossless.
+
+A document is the set of its distinct 5-word shingles (64-bit hashes).  The pigeonhole
+runs over shingles in one global order: two sets with Jaccard >= 3/4 share 3/7 of their
+sizes' sum, so of either set at most a quarter can come before the first shared
+shingle, and the first |A| // 4 + 1 of each are the join keys, in size bands.  Bands are
+powers of four; a document within 4/3 of the next band takes part in that one too, so
+any two sizes that can match meet in a band.  The p shingles ahead of a key aren't shared
+where the key is the first shared one, so a partner has at most (4 |A| - 7 p) / 3
+shingles: the row of a key carries that bound, and pairs that break either one's bound
+are never made.  Texts with many words of their own (far members of a group of copies)
+have their own rare shingles first and thus bounds too small for each other.
+
+The order is by how common a shingle is in the whole corpus, from a count sketch of
 ``COUNTERS`` cells summed over all documents: common passages come last and hardly
-ever become keys.  The order changes only cost; any order is lossless.
+ever become keys.  The order changes only cost; any order is lossless, up to equal
+64-bit hashes of different shingles or sets.
+
+The dealt form of the pigeonhole, on segments of the parity bit sketch, isn't used to find
+candidates: at 3/4 a segment would hold 3.5 shingles, and either few bits, which unlike
+texts share by chance, or the shingles of a common passage.  Parity sketches prune the
+candidates: the Hamming distance of two sketches never exceeds the symmetric difference.
 
 Equal sets share their 64-bit set hash and count as one class.  Classes that share a
 key are first compared with the central class of their keys (a star), verified exactly,
-and linked; then all classes that share a key and are still in different components
-are compared, after a filter by the Hamming distance of their bit parity sketches, so
-no link is lost and a group of copies costs a pair per member, not all pairs.
+and linked; then the classes that share a key within their bounds and are still in
+different components are compared, after the sketches, so no link is lost and a group
+of copies costs a pair per member, not all pairs.  Keys that the count sketch calls common
+are dealt to ``SALTS`` tasks; whatever is gathered of a key is a partial aggregate.
 Components come from rounds of least-neighbour labels with pointer jumps.
 
 Defined results: texts with 1 to 4 words are one shingle; null, empty and blank texts
 have no shingles and no links; equal rows are linked; a row with a null doc_id can
 link others, and components are named by their least non-null id (null if there is
-none); extra columns are ignored by ``components`` and pass through ``keep_one``.
+none); ids may be of any type that can be ordered; very long texts take memory in
+proportion; an empty table gives an empty table; extra columns are ignored by
+``components`` and pass through ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Stored, blocks, lowered, mix, shingle_sets, store, tidy
+from .common import BROADCAST_IDS, Stored, blocks, fresh, lowered, mix, shingle_sets, signed, store, tidy
 
 COUNTERS = 1 << 22
 CHUNKS = 64
@@ -46,15 +54,17 @@ SKETCH_BITS = 1 << 16
 #: A table of pairs up to this length is broadcast (32 bytes a row).
 BROADCAST_PAIRS = 500_000
 BAND_BITS = 2
-#: A sketch word takes the shingles that agree in all but so many low bits of their hashes.
-WORD_SHIFT = 20
-#: Keys beyond the bound, for shingles that meet in a word.
-SPARE_KEYS = 2
-KEYS_SCHEMA = "key long, s long"
+#: A key is common if its cell of the count sketch holds so many, and so many times the average cell.
+COMMON_KEY = 1000
+COMMON_TIMES = 8
+SALTS = 64
+#: Classes whose keys a task remembers having sent, so that copies send them once.
+REMEMBERED = 200_000
+KEYS_SCHEMA = "key long, s long, n int, most int, salt int"
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
 
 def set_hash(u: np.ndarray) -> int:
@@ -63,25 +73,26 @@ def set_hash(u: np.ndarray) -> int:
         return int(mix(np.array([np.bitwise_xor.reduce(mix(u + np.uint64(1))) + np.sum(mix(u)) + np.uint64(len(u))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def band_keys(u: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Join keys of a sorted set of shingles, in every band that it belongs to."""
+def band_keys(u: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join keys of a set of shingles in every band that it belongs to, with bounds and commonness.
+
+    The bound is the largest set that can match if the key is the first shared one.
+    """
     n = len(u)
     own = (n.bit_length() - 1) // BAND_BITS
     bands = [own, own + 1] if 4 * n >= 3 << BAND_BITS * (own + 1) else [own]
-    out = []
-    commonness = counts[(u & np.uint64(len(counts) - 1)).astype(np.int64)]
+    common = counts[(u & np.uint64(len(counts) - 1)).astype(np.int64)]
+    need = n // 4 + 1
+    rough = common.astype(np.uint64) << np.uint64(44) | u >> np.uint64(20)
+    if need < n:
+        at = np.flatnonzero(rough <= np.partition(rough, need - 1)[need - 1])
+        u, common = u[at], common[at]
+    at = np.lexsort((u, common))[:need]
+    u, common = u[at], common[at]
+    most = (4 * n - 7 * np.arange(len(u))) // 3
     with np.errstate(over="ignore"):
-        place = u >> np.uint64(WORD_SHIFT)
-        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        word = np.bitwise_xor.reduceat(u, first)
-        common = np.minimum.reduceat(commonness, first).astype(np.uint64) << np.uint64(44)
-        for band in bands:
-            key = mix(word ^ mix(place[first] * np.uint64(64) + np.uint64(band)))
-            need = n // 4 + 1 + SPARE_KEYS
-            if need < len(key):
-                key = key[np.argpartition(common | key >> np.uint64(20), need - 1)[:need]]
-            out.append(key)
-    return np.concatenate(out)
+        keys = np.concatenate([mix(u ^ mix(np.array([band + 1], dtype=np.uint64))) for band in bands])
+    return keys, np.tile(most, len(bands)), np.tile(common, len(bands))
 
 
 def parity_sketch(u: np.ndarray) -> np.ndarray:
@@ -99,9 +110,9 @@ def _fingerprints(batches):
     counts = np.zeros(COUNTERS, dtype=np.int32)
     mask = np.uint64(COUNTERS - 1)
     names = ["kind", "doc_id", "n", "s", "cells"]
-    seen = False
+    seen, ids = False, None
     for batch in batches:
-        n, s = [], []
+        n, s, ids = [], [], batch.column(0).type
         for block in map(lowered, blocks(batch.column(1))):
             for u in shingle_sets(block):
                 n.append(len(u))
@@ -113,7 +124,7 @@ def _fingerprints(batches):
     if seen:
         step = COUNTERS // CHUNKS
         packed = [zlib.compress(np.minimum(counts[k * step : (k + 1) * step], 65535).astype(np.uint16).tobytes(), 1) for k in range(CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(CHUNKS, np.int32)), pa.nulls(CHUNKS, pa.int64()), pa.array(np.arange(CHUNKS)), pa.nulls(CHUNKS, pa.int64()), pa.array(packed, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(CHUNKS, np.int32)), pa.nulls(CHUNKS, ids or pa.int64()), pa.array(np.arange(CHUNKS)), pa.nulls(CHUNKS, pa.int64()), pa.array(packed, pa.binary())], names=names)
 
 
 def _add_cells(batches):
@@ -139,19 +150,32 @@ def _corpus_counts(cells: DataFrame) -> np.ndarray:
 
 def _keys(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(counts)
+    common_key = max(COMMON_KEY, COMMON_TIMES * float(counts.mean(dtype=np.float64)))
 
     def emit(batches):
-        counts = shared.value
+        counts, sent = shared.value, set()
         for batch in batches:
             for block in map(lowered, blocks(batch.column(0))):
-                keys, owners, sizes = [], [], []
+                keys, most, common, owners, sizes, lens = [], [], [], [], [], []
                 for u in shingle_sets(block):
-                    if len(u):
-                        keys.append(band_keys(u, counts))
-                        owners.append(set_hash(u))
-                        sizes.append(len(keys[-1]))
+                    s = set_hash(u) if len(u) else None
+                    if s is None or s in sent:
+                        continue
+                    if len(sent) >= REMEMBERED:
+                        sent.clear()
+                    sent.add(s)
+                    for x, y in zip((keys, most, common), band_keys(u, counts)):
+                        x.append(y)
+                    owners.append(s)
+                    sizes.append(len(u))
+                    lens.append(len(keys[-1]))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), sizes))], names=["key", "s"])
+                    s = np.repeat(np.array(owners, np.int64), lens)
+                    salt = np.where(np.concatenate(common) > common_key, s % SALTS, -1)
+                    yield pa.RecordBatch.from_arrays(
+                        [signed(np.concatenate(keys)), pa.array(s), pa.array(np.repeat(sizes, lens).astype(np.int32)), pa.array(np.concatenate(most).astype(np.int32)), pa.array(salt.astype(np.int32))],
+                        names=["key", "s", "n", "most", "salt"],
+                    )
 
     return docs.select("text").mapInArrow(emit, KEYS_SCHEMA)
 
@@ -263,59 +287,74 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def _members(narrow: DataFrame, counts: np.ndarray) -> Stored:
+    """(key, s, n, most) of the keys that several classes have, and of all common keys.
+
+    One shuffle; a common key is dealt to ``SALTS`` tasks, and what it has is sorted out later.
+    """
+    keys = _keys(narrow, counts).withColumns({"lo": F.expr("min(s) over (partition by key, salt)"), "hi": F.expr("max(s) over (partition by key, salt)")})
+    return store(keys.where("lo <> hi or salt >= 0").select("key", "s", "n", "most").distinct())
+
+
+def _star(members: DataFrame) -> DataFrame:
+    """(a, b): each class b with the centre that it shares most keys with.
+
+    The centre of a key is the class that meets most others under its keys: of a group
+    of near copies, the text that the others come from.
+    """
+    size = members.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    weight = store(members.join(size, F.col("key") == F.col("k")).groupBy("s").agg(F.sum("size").alias("weight")))
+    weighed = members.join(_small(weight.df.withColumnRenamed("s", "c")), F.col("s") == F.col("c")).select("key", "s", "weight")
+    centre = weighed.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", "s"))["s"].alias("centre"))
+    shared = members.join(centre, F.col("key") == F.col("k")).where("centre <> s").groupBy("s", "centre").count()
+    return shared.groupBy("s").agg(F.max_by("centre", F.struct("count", "centre")).alias("a")).select("a", F.col("s").alias("b"))
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): the classes of different components that share a key within their bounds."""
+    label = store(members.join(roots.withColumnRenamed("s", "c"), F.col("s") == F.col("c"), "left").select("key", "s", "n", "most", F.coalesce("root", "s").alias("root")))
+    of_key = label.df.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("most").alias("bound")).where("lo <> hi")
+    alive = store(label.df.join(of_key, (F.col("key") == F.col("k")) & (F.col("n") <= F.col("bound")) & (F.col("most") >= F.col("least"))).select("key", "s", "n", "most", "root"))
+    label.drop()
+    one, two = (alive.df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("s", "n", "most", "root")]) for x in "ab")
+    meet = "s_a < s_b and root_a <> root_b and n_a <= most_b and n_b <= most_a"
+    out = store(one.join(two, "key").where(meet).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct())
+    alive.drop()
+    return out.df
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, roots): doc_id, n, s of each row; (s, root) of each class with a link."""
     narrow = _narrow(docs)
     spark = docs.sparkSession
-    prints = store(narrow.mapInArrow(_fingerprints, "kind int, doc_id long, n long, s long, cells binary"))
+    kind = dict(narrow.dtypes)["doc_id"]
+    prints = store(narrow.mapInArrow(_fingerprints, f"kind int, doc_id {kind}, n long, s long, cells binary"))
     rows = prints.df.where("kind = 0").select("doc_id", "n", "s")
     counts = _corpus_counts(prints.df.where("kind = 1"))
     documents = store(rows)
     prints.drop()
 
-    # Keys of two classes or more, each row with the least class of its key.
-    members = store(
-        _keys(narrow, counts)
-        .withColumns({"lo": F.expr("min(s) over (partition by key)"), "hi": F.expr("max(s) over (partition by key)"), "size": F.expr("count(*) over (partition by key)")})
-        .where("lo <> hi")
-        .select("key", "s", "size")
-        .distinct()
-    )
+    members = _members(narrow, counts)
     tidy(spark)
     if members.df.isEmpty():
         return documents.df, spark.createDataFrame([], "s long, root long")
     involved = store(members.df.select("s").distinct())
     texts = _Texts(narrow, documents.df, involved.df)
     sketches = texts.table(_sketches, involved.df)
-
-    # The centre of a key is the class that meets most others under its keys: of a group of
-    # near copies, the text that the others come from.  Each class is compared with the
-    # centre that it shares most keys with.
-    weight = store(members.df.groupBy("s").agg(F.sum("size").alias("weight")))
-    weighed = members.df.join(_small(weight.df.withColumnRenamed("s", "c")), F.col("s") == F.col("c")).select("key", "s", F.struct("weight", "s").alias("w"))
-    centred = weighed.withColumn("centre", F.expr("max(w) over (partition by key)")["s"])
-    shared = centred.where("centre <> s").groupBy("s", "centre").count()
-    star = shared.groupBy("s").agg(F.max_by("centre", F.struct("count", "centre")).alias("a")).select("a", F.col("s").alias("b"))
-    links = _verified(star, sketches.df, texts)
+    involved.drop()
+    star = store(_star(members.df))
+    links = _verified(star.df, sketches.df, texts)
+    star.drop()
     roots = connected(links.df)
     tidy(spark)
-
-    # What still lies apart under a common key.
-    label = members.df.join(roots, "s", "left").select("key", "s", F.coalesce("root", "s").alias("root"))
-    label = label.withColumns({"lo": F.expr("min(root) over (partition by key)"), "hi": F.expr("max(root) over (partition by key)")}).where("lo <> hi").select("key", "s", "root")
-    apart = store(label)
-    if not apart.df.isEmpty():
-        one, two = (apart.df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("s", "root")]) for x in "ab")
-        pairs = one.join(two, "key").where("s_a < s_b and root_a <> root_b").select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct()
-        pairs = store(pairs)
-        apart.drop()
-        tidy(spark)
-        more = _verified(pairs.df, sketches.df, texts)
+    pairs = _apart(members.df, roots)
+    members.drop()
+    tidy(spark)
+    if not pairs.isEmpty():
+        more = _verified(pairs, sketches.df, texts)
         if not more.df.isEmpty():
             links = store(links.df.unionByName(more.df))
             roots = connected(links.df)
-        pairs.drop()
-    members.drop()
     sketches.drop()
     return documents.df, roots
 
@@ -337,13 +376,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without shingles or without a doc_id stay; of several rows with the least id of
     their component one stays.
     """
+    gone_id, twice_id = fresh(docs, "gone", "twice")
     found = store(components(docs))
-    gone = store(found.df.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(_small(gone.df.select(F.col("doc_id").alias("__tm_id"))), docs["doc_id"] == F.col("__tm_id"), "left_anti")
-    again = found.df.where("doc_id is not null and n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
+    gone = store(found.df.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct())
+    again = store(found.df.where("doc_id is not null and n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias(twice_id)).count().where("count > 1").drop("count"))
+    found.drop()
+    kept = docs.join(_small(gone.df), F.col("doc_id") == F.col(gone_id), "left_anti")
+    if again.df.isEmpty():
         return kept
-    twice = store(again.select("doc_id"))
-    bad = F.col("__tm_twice").isNotNull()
-    marked = kept.join(_small(twice.df.select(F.col("doc_id").alias("__tm_twice"))), kept["doc_id"] == F.col("__tm_twice"), "left")
-    return marked.where(~bad).drop("__tm_twice").unionByName(marked.where(bad).dropDuplicates(["__tm_twice"]).drop("__tm_twice"))
+    marked = kept.join(_small(again.df), F.col("doc_id") == F.col(twice_id), "left")
+    bad = F.col(twice_id).isNotNull()
+    return marked.where(~bad).drop(twice_id).unionByName(marked.where(bad).dropDuplicates([twice_id]).drop(twice_id))
