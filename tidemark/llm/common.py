@@ -9,6 +9,7 @@ follows the block size (or the longest single text), not the batch.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import gc
 import uuid
@@ -300,6 +301,25 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def trimmed(f):
+    """``f`` for mapInArrow; when a task ends, its worker gives back the memory it no longer uses.
+
+    Workers wait for further tasks beside the executor's heap, and would otherwise hold
+    what their largest block took.
+    """
+
+    def run(batches):
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets the driver find what is no longer used, so that Spark deletes its shuffle files.
 

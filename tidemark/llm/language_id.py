@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, lowered
+from .common import Block, blocks, lowered, trimmed
 
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 64
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, usable: Column | None = None) -> Model | None:
         yield _packed(sums)
 
     schema = "k int, cells binary"
-    summed = picked.select("text", "lang").mapInArrow(count, schema).repartition(min(len(langs), 16), "k").mapInArrow(add, schema)
+    summed = picked.select("text", "lang").mapInArrow(trimmed(count), schema).repartition(min(len(langs), 16), "k").mapInArrow(trimmed(add), schema)
     counts = np.zeros((len(langs), cells))
     for row in summed.collect():
         counts[row["k"]] += np.frombuffer(zlib.decompress(row["cells"]), dtype=np.int64)
@@ -285,4 +285,4 @@ def predict(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = f"doc_id {dict(narrow.dtypes)['doc_id']}, lang_pred string, score double"
-    return narrow.mapInArrow(run, schema + (", spans array<struct<start: int, stop: int, lang: string>>" if spans else ""))
+    return narrow.mapInArrow(trimmed(run), schema + (", spans array<struct<start: int, stop: int, lang: string>>" if spans else ""))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import store, trimmed
 
 HEAD = 60_000
 VOCAB = 700
@@ -265,7 +265,7 @@ def _train(docs: DataFrame, model: Model) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "p"])
 
         schema = "k int, p binary"
-        sums = docs.select("text").mapInArrow(run, schema).repartition(AVERAGERS, "k").mapInArrow(average, schema).collect()
+        sums = docs.select("text").mapInArrow(trimmed(run), schema).repartition(AVERAGERS, "k").mapInArrow(trimmed(average), schema).collect()
         if sums:
             model.set_parameters(_unpack(sum(np.frombuffer(bytes(r["p"])) for r in sums), model.parameters()))
         shared.unpersist()
@@ -290,7 +290,7 @@ def _most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
 def fit(docs: DataFrame, usable: Column) -> tuple[Model, DataFrame]:
     """(model, counts) from the rows of ``docs`` for which ``usable`` holds."""
     train = docs.where(usable).select(F.col("text").cast("string").alias("text"))
-    counts = store(train.mapInArrow(_count, "word binary, b int, n long").groupBy("word", "b").agg(F.sum("n").alias("n"))).df
+    counts = store(train.mapInArrow(trimmed(_count), "word binary, b int, n long").groupBy("word", "b").agg(F.sum("n").alias("n"))).df
     head = _most_frequent(counts.where("b >= 0"), HEAD)
     top = {w for w, _ in head[:VOCAB]}
     tokens_of, words_of = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -374,7 +374,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     names=["doc_id", "row", "word", "n", "known", "base", "score"],
                 )
 
-    part = narrow.mapInArrow(run, f"doc_id {kind}, row long, word binary, n long, known long, base double, score double")
+    part = narrow.mapInArrow(trimmed(run), f"doc_id {kind}, row long, word binary, n long, known long, base double, score double")
     # A text is known by its id, its place in a task, and the sums that only depend on it.
     parts = store(part.withColumn("task", F.spark_partition_id()))
     per_class = F.array(*[F.lit(float(x)) for x in model.bucket_tokens + 0.5 * (model.bucket_words + 1)])

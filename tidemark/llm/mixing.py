@@ -11,14 +11,17 @@ prefix of the order whose middle words lie within the budget is taken, so a sour
 ends within half a document of its target.
 
 The order isn't sorted as a whole: keys fall in ``BUCKETS`` ranges per source, range
-sums give the range where the budget ends, and only that range is sorted.  A document
-is taken by comparing its (key, id) with the last one taken of its source, which is
-one row per source.
+sums give the range where the budget ends, that range is cut in ``BUCKETS`` again in the
+same way, and only the range left, a 16-millionth of a source, is sorted.  A document
+is taken by comparing its (key, id) with the last one taken of its source.  Sources are
+the parameters of a mix: the driver has one row for each, and beyond ``BROADCAST_IDS`` of
+them the joins on them are shuffled.
 
 Defined results: null text has size 0; null is a source of its own; rows with the
 same key and id (repeated rows) are taken or left together; sources without words
-have target 0; an empty table gives an empty table; extra columns pass through
-``mix``.
+have target 0; an empty table gives an empty table; very long texts take memory in
+proportion, as words are counted and never listed; extra columns pass through ``mix``,
+whatever their names, but for mix_size and mix_taken.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, store, uniform, words_of
+from .common import BROADCAST_IDS, WORD_CLASS, store, uniform
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -35,15 +38,22 @@ SEED = "mix"
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def _measured(text: Column) -> Column:
-    """struct<size, quality> of a text."""
-    with_symbols = lambda w: F.size(F.filter(w, lambda x: x.rlike(SYMBOLS)))
-    quality = lambda w: F.when(F.size(w) == 0, 1.0).otherwise(1.0 - 0.75 * with_symbols(w) / F.size(w))
-    return let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("size"), quality(w).cast("double").alias("quality")))
+def _measured(text: Column) -> tuple[Column, Column]:
+    """Words of a text, and its quality weight."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORD_CLASS + "+")).cast("long")
+    # Without all other characters, a word with symbols is one run of them.
+    with_symbols = F.regexp_count(F.regexp_replace(text, r"[^\x20\x09-\x0D#*$%&|<>]+", ""), F.lit(SYMBOLS + "+"))
+    return size, F.when(size == 0, 1.0).otherwise(1.0 - 0.75 * with_symbols / size).cast("double")
+
+
+def _key(doc_id: Column, quality: Column, seed: str) -> Column:
+    return -F.log(uniform(doc_id, seed)) / quality
 
 
 def _bucket(key: Column) -> Column:
-    return F.floor(F.lit(float(BUCKETS)) * (1 - F.exp(-key))).cast("int")
+    """Range of a key among ``BUCKETS`` squared."""
+    return F.floor(F.lit(float(BUCKETS * BUCKETS)) * (1 - F.exp(-key)))
 
 
 def shares(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: int = MOST_EPOCHS) -> dict[str | None, float]:
@@ -63,68 +73,79 @@ def shares(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: int = MOS
     return out
 
 
-def plan(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, sources).
+def _of_source(df: DataFrame, sources: DataFrame, source: Column, name: str, few: bool, how: str = "inner") -> DataFrame:
+    """Adds the row of its source to each row; null is a source."""
+    return df.join(F.broadcast(sources) if few else sources, source.eqNullSafe(F.col(name)), how)
+
 
-    documents: __id, __source, __size, __key of every row, stored.  sources: one row for
-    each source with source_size, target, epochs and the last (key, id) of the fraction.
+def _edge(rows: DataFrame, sources: DataFrame, range_: Column, few: bool) -> DataFrame:
+    """``sources`` with ``edge``, the range where the budget ends, and ``before``, the words ahead of it.
+
+    ``rows`` have source, size and the words already ``passed`` before them all.
     """
-    m = docs.select(F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("__source"), _measured(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("m"))
-    m = m.select("__id", "__source", F.col("m.size").alias("__size"), (-F.log(uniform(F.col("__id"), seed)) / F.col("m.quality")).alias("__key"))
-    m = m.withColumn("__bucket", _bucket(F.col("__key")))
-    small = store(m).df
-    spark = docs.sparkSession
+    sums = rows.groupBy("source", range_.alias("range")).agg(F.sum("size").alias("n"), F.max("passed").alias("passed"))
+    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("sofar", F.col("passed") + F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    reached = _of_source(sums, sources, F.col("source"), "s", few).where("sofar < rest").groupBy("s").agg(F.max(F.struct("range", "sofar")).alias("e"))
+    reached = reached.select(F.col("s").alias("es"), F.col("e.range").alias("edge"), F.col("e.sofar").alias("before"))
+    return _of_source(sources.drop("edge", "before"), reached, F.col("s"), "es", few, "left").drop("es")
+
+
+def plan(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame, bool]:
+    """(documents, sources, whether sources are few).
+
+    documents: id, source, size, key and bucket of every row, stored.  sources: one row for
+    each source ``s`` with source_size, target, epochs and the last (key, id) of the fraction.
+    """
+    size, quality = _measured(F.col("text"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), size.alias("size"), quality.alias("quality"))
+    rows = rows.select("id", "source", "size", _key(F.col("id"), F.col("quality"), seed).alias("key")).withColumn("bucket", _bucket(F.col("key")))
+    rows = store(rows).df
     # One row per source comes to the driver, as target shares need all of them at once.
-    sizes = [(r["__source"], r["n"]) for r in small.groupBy("__source").agg(F.sum("__size").alias("n")).collect()]
-    targets = shares(sizes)
-    rows = []
+    sizes = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
+    targets, few = shares(sizes), len(sizes) <= BROADCAST_IDS
+    table = []
     for s, n in sizes:
         epochs = int(targets[s] // n) if n else 0
-        rows.append((s, n, targets[s], epochs, targets[s] - epochs * n))
-    sources = spark.createDataFrame(rows, "__s string, source_size long, target double, __epochs int, rest double")
-
-    # The range where the budget ends, from the sums of ranges.
-    sums = small.groupBy("__source", "__bucket").agg(F.sum("__size").alias("n"))
-    ahead = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-    edge = sums.join(F.broadcast(sources), F.col("__source").eqNullSafe(F.col("__s")))
-    edge = edge.where("before < rest").groupBy("__s").agg(F.max(F.struct("__bucket", "before")).alias("e")).select(F.col("__s").alias("__e"), F.col("e.__bucket").alias("__edge"), "e.before")
-    sources = sources.join(edge, F.col("__s").eqNullSafe(F.col("__e")), "left").drop("__e")
+        table.append((s, n, targets[s], epochs, targets[s] - epochs * n))
+    sources = docs.sparkSession.createDataFrame(table, "s string, source_size long, target double, epochs int, rest double")
+
+    # The range where the budget ends, then the range within it, from the sums of ranges.
+    sources = store(_edge(rows.withColumn("passed", F.lit(0)), sources, F.floor(F.col("bucket") / BUCKETS), few)).df
+    inside = _of_source(rows, sources, F.col("source"), "s", few).where(F.floor(F.col("bucket") / BUCKETS) == F.col("edge")).withColumn("passed", F.col("before"))
+    sources = store(_edge(inside.select("source", "size", "bucket", "passed"), sources, F.col("bucket"), few)).df
     # Sort that range alone; rows with the same key and id count as one.
-    inside = small.join(F.broadcast(sources), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__edge")))
-    inside = inside.groupBy("__s", "rest", "before", "__key", "__id").agg(F.sum("__size").alias("n"))
-    upto = Window.partitionBy("__s").orderBy("__key", "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = _of_source(rows, sources, F.col("source"), "s", few).where("bucket = edge")
+    inside = inside.groupBy("s", "rest", "before", "key", "id").agg(F.sum("size").alias("n"))
+    upto = Window.partitionBy("s").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = inside.withColumn("to", F.sum("n").over(upto) + F.col("before")).where("to - n / 2 < rest")
-    last = taken.groupBy("__s").agg(F.max(F.struct("__key", "__id")).alias("__last")).select(F.col("__s").alias("__l"), "__last")
-    sources = sources.join(last, F.col("__s").eqNullSafe(F.col("__l")), "left").drop("__l", "before", "rest")
-    return small, store(sources).df
+    last = taken.groupBy("s").agg(F.max(F.struct("key", "id")).alias("last")).withColumnRenamed("s", "ls")
+    sources = _of_source(sources, last, F.col("s"), "ls", few, "left").drop("ls", "before", "rest")
+    return rows, store(sources).df, few
 
 
 def _taken(size: Column, key: Column, bucket: Column, doc_id: Column) -> Column:
-    last = F.col("__last")
-    before = (key < last["__key"]) | ((key == last["__key"]) & F.coalesce(doc_id <= last["__id"], doc_id.isNull()))
-    extra = F.coalesce(bucket < F.col("__edge"), F.lit(False)) | (F.coalesce(bucket == F.col("__edge"), F.lit(False)) & F.coalesce(before, F.lit(False)))
-    return size * (F.col("__epochs") + extra.cast("int"))
+    last = F.col("last")
+    before = (key < last["key"]) | ((key == last["key"]) & F.coalesce(doc_id <= last["id"], doc_id.isNull()))
+    extra = F.coalesce(bucket < F.col("edge"), F.lit(False)) | (F.coalesce(bucket == F.col("edge"), F.lit(False)) & F.coalesce(before, F.lit(False)))
+    return (size * (F.col("epochs") + extra.cast("int"))).cast("long")
 
 
 def decisions(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs``."""
-    small, sources = plan(docs, seed)
-    joined = small.join(F.broadcast(sources), F.col("__source").eqNullSafe(F.col("__s")), "left")
-    return joined.select(
-        F.col("__id").alias("doc_id"),
-        F.col("__size").alias("size"),
-        "source_size",
-        "target",
-        _taken(F.col("__size"), F.col("__key"), F.col("__bucket"), F.col("__id")).cast("long").alias("taken"),
-    )
+    rows, sources, few = plan(docs, seed)
+    joined = _of_source(rows, sources, F.col("source"), "s", few, "left")
+    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", _taken(F.col("size"), F.col("key"), F.col("bucket"), F.col("id")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows that the mix takes, with the columns of ``docs`` and ``mix_size``, ``mix_taken``."""
-    _, sources = plan(docs, seed)
-    key = -F.log(uniform(F.col("doc_id"), seed)) / F.col("__m.quality")
-    df = docs.withColumn("__m", _measured(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("__key", key).withColumn("__bucket", _bucket(F.col("__key")))
-    df = df.join(F.broadcast(sources.select("__s", "__epochs", "__edge", "__last")), F.col("source").cast("string").eqNullSafe(F.col("__s")), "left")
-    df = df.withColumns({"mix_size": F.col("__m.size"), "mix_taken": _taken(F.col("__m.size"), F.col("__key"), F.col("__bucket"), F.col("doc_id")).cast("long")})
-    return df.where("mix_taken > 0").select(*[c for c in docs.columns if c not in ("mix_size", "mix_taken")], "mix_size", "mix_taken")
+    _, sources, few = plan(docs, seed)
+    kept = [c for c in docs.columns if c not in ("mix_size", "mix_taken")]
+    size, quality = _measured(F.col("text"))
+    # The columns of ``docs`` travel in one, so their names can't clash with others.
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), size.alias("size"), quality.alias("quality"))
+    df = df.withColumn("key", _key(F.col("row")["doc_id"], F.col("quality"), seed)).withColumn("bucket", _bucket(F.col("key")))
+    df = _of_source(df, sources.select("s", "epochs", "edge", "last"), F.col("row")["source"].cast("string"), "s", few, "left")
+    df = df.withColumn("taken", _taken(F.col("size"), F.col("key"), F.col("bucket"), F.col("row")["doc_id"])).where("taken > 0")
+    return df.select(*[F.col("row")[c].alias(c) for c in kept], F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"))

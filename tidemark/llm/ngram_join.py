@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Stored, blocks, fresh, lowered, mix, shingle_sets, signed, store, tidy
+from .common import BROADCAST_IDS, Stored, blocks, fresh, lowered, mix, shingle_sets, signed, store, tidy, trimmed
 
 COUNTERS = 1 << 22
 CHUNKS = 64
@@ -142,7 +142,7 @@ def _corpus_counts(cells: DataFrame) -> np.ndarray:
     """The count sketch of the corpus: at most 16 MB, whatever the corpus."""
     counts = np.zeros(COUNTERS, dtype=np.uint32)
     step = COUNTERS // CHUNKS
-    summed = cells.select("n", "cells").repartition(CHUNKS, "n").mapInArrow(_add_cells, "n long, cells binary")
+    summed = cells.select("n", "cells").repartition(CHUNKS, "n").mapInArrow(trimmed(_add_cells), "n long, cells binary")
     for row in summed.collect():
         counts[row["n"] * step : (row["n"] + 1) * step] = np.frombuffer(zlib.decompress(row["cells"]), dtype=np.uint32)
     return counts
@@ -177,7 +177,7 @@ def _keys(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                         names=["key", "s", "n", "most", "salt"],
                     )
 
-    return docs.select("text").mapInArrow(emit, KEYS_SCHEMA)
+    return docs.select("text").mapInArrow(trimmed(emit), KEYS_SCHEMA)
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     s, n, bits = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["s", "n", "bits"])
 
-    return docs.select("text").mapInArrow(emit, "s long, n long, bits array<long>")
+    return docs.select("text").mapInArrow(trimmed(emit), "s long, n long, bits array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     s, sets = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["s", "u"])
 
-    return docs.select("text").mapInArrow(emit, "s long, u array<long>")
+    return docs.select("text").mapInArrow(trimmed(emit), "s long, u array<long>")
 
 
 class _Texts:
@@ -328,7 +328,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     narrow = _narrow(docs)
     spark = docs.sparkSession
     kind = dict(narrow.dtypes)["doc_id"]
-    prints = store(narrow.mapInArrow(_fingerprints, f"kind int, doc_id {kind}, n long, s long, cells binary"))
+    prints = store(narrow.mapInArrow(trimmed(_fingerprints), f"kind int, doc_id {kind}, n long, s long, cells binary"))
     rows = prints.df.where("kind = 0").select("doc_id", "n", "s")
     counts = _corpus_counts(prints.df.where("kind = 1"))
     documents = store(rows)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, lowered, run_hashes, store, window_hashes
+from .common import Block, blocks, lowered, run_hashes, store, trimmed, window_hashes
 
 SAMPLE_ROWS = 20_000
 FEATURES = 192
@@ -115,7 +115,7 @@ def _described(docs: DataFrame, *keep: str) -> DataFrame:
             cells = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], cells], names=[*keep, "x"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", x array<double>")
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", x array<double>")
 
 
 def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
             s += np.vstack([np.full(x.shape[1], len(x)), x.sum(axis=0), (x**2).sum(axis=0)])
         yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], names=["s"])
 
-    count, total, square = sum(np.frombuffer(bytes(r["s"])).reshape(3, -1) for r in table.coalesce(PARTS).mapInArrow(moments, "s binary").collect())
+    count, total, square = sum(np.frombuffer(bytes(r["s"])).reshape(3, -1) for r in table.coalesce(PARTS).mapInArrow(trimmed(moments), "s binary").collect())
     mean = total / count
     model = Model(mean, np.sqrt(np.maximum(square / count - mean**2, 1e-6)))
 
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
             a += f.T @ np.hstack([f, y[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], names=["s"])
 
-    a = sum(np.frombuffer(bytes(r["s"])).reshape(FEATURES + 1, -1) for r in table.coalesce(PARTS).mapInArrow(normal, "s binary").collect())
+    a = sum(np.frombuffer(bytes(r["s"])).reshape(FEATURES + 1, -1) for r in table.coalesce(PARTS).mapInArrow(trimmed(normal), "s binary").collect())
     ridge = RIDGE * np.eye(FEATURES + 1)
     ridge[-1, -1] = 1e-9
     model.beta = np.linalg.solve(a[:, :-1] + ridge, a[:, -1])
@@ -181,4 +181,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             scores = [shared.value.score(statistics(b)) for b in blocks(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["doc_id", "score"])
 
-    return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, score double")
+    return narrow.mapInArrow(trimmed(run), f"doc_id {dict(narrow.dtypes)['doc_id']}, score double")
