@@ -130,6 +130,19 @@ def test_contained_items_equal_brute_force(spark, odd_docs, empty_docs):
     assert decontaminate.find_contained(docs, bench.where("false")).count() == 0
 
 
+def test_containment_in_blocks_of_items_and_ids_of_any_type(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(f"q{k}", sentence(800 + k, rng.choice([6, 20, 70, 150, 400, 900]))) for k in range(30)]
+    docs = [(f"d{k}", sentence(900 + k, 40) + " " + edited(items[k % 30][1], rng.choice([0, 0.02, 0.05]), rng) + " " + sentence(950 + k, 9)) for k in range(90)] + [("long", " ".join(t for _, t in items) + " " + sentence(1, 300_000))]
+    sets = {i: shingles(t) for i, t in items}
+    want = {(d, i) for d, t in docs for have in [shingles(t)] for i, q in sets.items() if len(q & have) >= 0.75 * len(q)}
+    docs, items = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for size in (decontaminate.BLOCK_SHINGLES, 1000):
+        monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", size)
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contained(docs, items).collect()} == want
+    assert max(decontaminate.rate(n) for n in (128, 1000)) < 1 == decontaminate.rate(40)
+
+
 def cut_by_force(rows):
     """(doc_id, text) -> text without the units that an earlier one repeats, unit by unit."""
     size, found = linededup.UNIT_WORDS, []
