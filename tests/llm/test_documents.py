@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 from collections import Counter
@@ -67,13 +68,68 @@ def test_texts_of_another_language_or_without_common_words_go(spark):
         assert not rows[k]["kept"] and not rows[k]["base_failed"] and rows[k]["class_distance"] <= quality_rules.CLASS_LIMIT
 
 
-def test_the_general_reference_is_over_all_languages(spark, monkeypatch):
-    rows = [(k, sentence(k, 100) + (" the of and" if k < 40 else " der die und"), "en" if k < 40 else f"l{k}") for k in range(60)]
-    measured = quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id").df
-    whole = quality_rules.references(measured)
-    monkeypatch.setattr(quality_rules, "MAX_LANGUAGES", 1)
-    few = quality_rules.references(measured)
-    assert set(few) == {None, "en"} and few[None] == pytest.approx(whole[None]) and few[None] != few["en"]
+def verdict_by_force(rows):
+    """doc_id -> kept, from histograms, references and limits computed anew."""
+    R, out, h, base = quality_rules, {}, {}, {}
+
+    def histogram(t):
+        w = words(t)
+        solid = "".join(w)
+        rare = re.sub(r"[a-z\x20\x09-\x0D]+", "", t)
+        taken = [sum(map(len, re.findall(p, rare))) for p in R.CHARACTER_CLASSES.values()]
+        common = [w.count(x) for x in R.COMMON_WORDS]
+        return [*taken, len(solid) - len(rare), len(rare) - sum(taken)], [*common, len(w) - sum(common)]
+
+    def scaled(x):
+        return [(1 - R.SMOOTHING) * (v / sum(x) if sum(x) else 1 / len(x)) + R.SMOOTHING / len(x) for v in x]
+
+    def distance(x, r):
+        if not sum(x):
+            return 0.0
+        p = [v / sum(x) for v in x]
+        m = [(a + b) / 2 for a, b in zip(p, r)]
+        kl = lambda y: sum(a * math.log2(a / b) for a, b in zip(y, m) if a)
+        return math.sqrt(max(0, (kl(p) + kl(r)) / 2))
+
+    for d, t, _ in rows:
+        h[d], base[d] = histogram(t or ""), base_by_force(t)
+    add = lambda ids: [[sum(c) for c in zip(*(h[d][k] for d in ids))] or [0] * len(h[rows[0][0]][k]) for k in (0, 1)]
+    good = [(d, lang) for d, _, lang in rows if not base[d][5]]
+    refs = {None: add([d for d, _ in good])}
+    for lang in {x for _, x in good}:
+        own = add([d for d, x in good if x == lang])
+        if sum(own[1]) >= R.LEAST_WORDS:
+            refs[lang] = own
+    of = {d: lang if lang in refs else None for d, _, lang in rows}
+    far = {d: [distance(h[d][k], scaled(refs[of[d]][k])) for k in (0, 1)] for d, _, _ in rows}
+    odd = lambda d: base[d][1] >= R.MIN_CHARS and far[d][0] > R.CLASS_LIMIT
+    reach = lambda d: far[d][1] * math.sqrt(min(base[d][0], R.LONG_WORDS))
+    limit = {}
+    for ref in refs:
+        cells = sorted(math.ceil(reach(d) / R.STEP) for d, _ in good if of[d] == ref and not odd(d))
+        if cells:
+            at = lambda q: next(c for k, c in enumerate(cells) if k + 1 >= q * len(cells)) * R.STEP
+            limit[ref] = max(R.LEAST_LIMIT, at(0.5) + R.SPREAD * (at(0.5) - at(0.1)))
+    for d, _, _ in rows:
+        out[d] = not base[d][5] and not odd(d) and not reach(d) > limit.get(of[d], R.LEAST_LIMIT)
+    return out, set(refs)
+
+
+def test_verdicts_equal_brute_force(spark):
+    common = {"en": "the of and to in a is that".split(), "de": "der die und den von zu das mit".split(), "xx": ["que"], "one": ["la"], "": ["de"]}
+    rows = []
+    for k in range(150):
+        lang = list(common)[k % 4 if k % 4 < 3 or k < 8 else 4]
+        w = sentence(k, 30 + 7 * (k % 30)).split()
+        rows.append((k, " ".join(common[lang][i % len(common[lang])] if (i * 7 + k) % (3 + k % 3) == 0 else x.upper() if k % 13 == 0 else x + "|" * (k % 17 == 0) for i, x in enumerate(w)), lang))
+    rows += [(200, rows[1][1] * 3, "en"), (201, rows[2][1], "de"), (202, None, "en"), (203, " ".join("x y z".split() * 90), "de"), (204, sentence(9, 30_000), "en")]
+    want, refs = verdict_by_force(rows)
+    assert refs == {None, "en", "de", "xx", ""} and 10 < sum(want.values()) < 150
+    docs = spark.createDataFrame([(d, t, lang or None) for d, t, lang in rows], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.verdicts(docs).collect()} == want
+    clashing = docs.withColumns({c: F.lit("x") for c in ("row", "m", "d", "ref", "most", "words", "kept", "__lang", "__text", "__words", "__m")})
+    kept = quality_rules.keep_good(clashing)
+    assert kept.columns == clashing.columns and {r["doc_id"] for r in kept.collect()} == {d for d, k in want.items() if k} and {(r["m"], r["kept"], r["__m"]) for r in kept.collect()} == {("x", "x", "x")}
 
 
 def test_distance_is_jensen_shannons(spark):
@@ -189,10 +245,39 @@ def test_the_mix_comes_near_its_targets(spark, odd_docs, empty_docs):
     assert all(abs(n[0] - n[1]) <= 35 and n[1] == pytest.approx(want[s]) for s, n in by.items())
     mixed = {(r["doc_id"], r["mix_taken"]) for r in mixing.mix(docs).collect()}
     assert mixed == {(r["doc_id"], r["taken"]) for r in found if r["taken"]}
+    odd_docs = odd_docs.withColumns({c: F.lit("x") for c in ("id", "bucket", "quality", "epochs", "edge", "last", "row", "__key", "__m", "__bucket")})
     odd = mixing.decisions(odd_docs).collect()
     assert len(odd) == odd_docs.count() and len({tuple(r) for r in odd if r["doc_id"] == 1}) == 1
     assert mixing.decisions(empty_docs).count() == 0 and mixing.mix(empty_docs).count() == 0
     assert mixing.mix(odd_docs).columns == [*odd_docs.columns, "mix_size", "mix_taken"]
+    assert {(r["key"], r["__key"], r["last"]) for r in mixing.mix(odd_docs).collect()} == {("x", "x", "x")}
+
+
+def mix_by_force(rows, seed):
+    """doc_id -> words taken, from the whole order of each source's keys."""
+    sizes, quality = {d: len(words(t)) for d, t, _ in rows}, {}
+    for d, t, _ in rows:
+        w = words(t)
+        quality[d] = 1 - 0.75 * sum(bool(re.search(r"[#*$%&|<>]", x)) for x in w) / len(w) if w else 1.0
+    key = {d: -math.log((int(hashlib.md5(f"{d}:{seed}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / quality[d] for d in sizes}
+    of = {}
+    for d, _, s in rows:
+        of.setdefault(s, []).append(d)
+    out = {}
+    for s, target in mixing.shares([(s, sum(sizes[d] for d in ids)) for s, ids in of.items()]).items():
+        n = sum(sizes[d] for d in of[s])
+        epochs = int(target // n) if n else 0
+        so_far, rest = 0, target - epochs * n
+        for d in sorted(of[s], key=lambda d: (key[d], d)):
+            so_far += sizes[d]
+            out[d] = sizes[d] * (epochs + (so_far - sizes[d] / 2 < rest))
+    return out
+
+
+def test_the_mix_equals_brute_force(spark):
+    rows = [(k, " ".join(w + "#" * (i % 5 < k % 4) for i, w in enumerate(sentence(k, k % 50).split())), [None, "a", "b", "c", "d"][k % 11 % 5]) for k in range(700)] + [(701, "x " * 300_000, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["taken"] for r in mixing.decisions(docs).collect()} == mix_by_force(rows, mixing.SEED)
 
 
 # ------------------------------------------------------------------ LM scoring

@@ -3,9 +3,9 @@
 Two histograms are taken of a document: character classes, and the common words of
 four languages (each word of the list below, and one cell for all other words).  The
 references are the same two histograms summed over the documents of a language that
-pass the base rules (null languages under the name ``''``); at most
-``MAX_LANGUAGES`` languages, those with most words first, have a reference of their
-own and every other one is compared with the sum over all.  The distance is
+pass the base rules (null languages under the name ``''``).  A language with at least
+``LEAST_WORDS`` words in such documents has a reference of its own; smaller ones, which
+would be compared with little but themselves, are compared with the sum over all.  The distance is
 Jensen-Shannon's (base 2, 0 to 1).  A document fails the method if either distance is
 above its threshold and its text is long enough for the histogram to mean something:
 ``MIN_CHARS`` characters in words for the classes, ``MIN_WORDS`` words for the common
@@ -23,12 +23,14 @@ Base rules: fewer than 50 words, or more than half of the words inside 3-word wi
 that occur twice or more in the text.
 
 All of it is DataFrame functions.  Windows are compared by their 64-bit hashes within
-one text.  Measures are taken in one pass over the texts and stored; references are
-one aggregate row per language, collected with a limit.
+one text.  Measures are taken in one pass over the texts and stored; references and limits
+are tables of one row per language, joined to the measures (broadcast up to
+``BROADCAST_LANGUAGES`` rows); the driver holds the sum over all alone.
 
 Defined results: null and empty texts have no words, so they fail the base rules;
-repeated rows get equal verdicts; extra columns are ignored by ``verdicts`` and pass
-through ``keep_good``; an empty table gives an empty table.
+repeated rows get equal verdicts; very long texts take time n log n and memory in
+proportion; extra columns are ignored by ``verdicts`` and pass through ``keep_good``,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -48,7 +50,10 @@ SPREAD = 3.5
 LONG_WORDS = 400
 #: Width of the cells in which scaled distances are counted; there are sqrt(LONG_WORDS) / STEP of them at most.
 STEP = 0.02
-MAX_LANGUAGES = 256
+#: Words of a language's base-passing documents from which on it has a reference of its own.
+LEAST_WORDS = 2_000
+#: References of so many languages are broadcast (about 400 bytes each).
+BROADCAST_LANGUAGES = 50_000
 #: Weight of the uniform histogram mixed into a reference, against empty cells.
 SMOOTHING = 1e-4
 
@@ -94,18 +99,28 @@ def _histogram(text: Column, words: Column, solid: Column) -> Column:
     return F.transform(counts, lambda x: x.cast("double"))
 
 
-def references(measured: DataFrame) -> dict[str | None, list[float]]:
-    """Language (None: all) -> the two summed histograms, each scaled to 1."""
-    lang = F.coalesce(F.col("__lang").cast("string"), F.lit(""))
-    cells = measured.where(~_base_failed()).select(lang.alias("__lang"), F.posexplode("__m.h").alias("k", "x"))
-    sums = cells.groupBy("__lang", "k").agg(F.sum("x").alias("x")).groupBy("__lang").agg(F.sort_array(F.collect_list(F.struct("k", "x")))["x"].alias("h"))
-    stored = sums.withColumn("words", F.aggregate(F.slice("h", N_CLASSES + 1, N_CELLS - N_CLASSES), F.lit(0.0), lambda a, x: a + x))
-    # One task, as a language is one row; the languages kept are a fixed number.
-    rows = stored.orderBy(F.desc("words"), "__lang").limit(MAX_LANGUAGES).collect()
-    # The general reference is over every language, also those without a reference of their own.
-    every = {r["k"]: r["x"] for r in cells.groupBy("k").agg(F.sum("x").alias("x")).collect()}
-    total = [every.get(k, 0.0) for k in range(N_CELLS)]
-    return {None: _scaled(total)} | {r["__lang"]: _scaled(r["h"]) for r in rows}
+def references(measured: DataFrame) -> tuple[DataFrame, list[float]]:
+    """(lang, h) of the languages with a reference, stored, and the sum over all; each histogram scaled to 1."""
+    cells = measured.where(~_base_failed()).select("lang", F.posexplode("m.h").alias("k", "x"))
+    sums = store(cells.groupBy("lang", "k").agg(F.sum("x").alias("x")))
+    of_lang = sums.df.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x")))["x"].alias("h"))
+    own = store(of_lang.where(_sum(F.slice("h", N_CLASSES + 1, N_CELLS - N_CLASSES)) >= LEAST_WORDS).select("lang", _scaled_column("h").alias("h")))
+    every = {r["k"]: r["x"] for r in sums.df.groupBy("k").agg(F.sum("x").alias("x")).collect()}
+    sums.drop()
+    return own.df, _scaled([every.get(k, 0.0) for k in range(N_CELLS)])
+
+
+def _sum(cells: Column) -> Column:
+    return F.aggregate(cells, F.lit(0.0), lambda a, x: a + x)
+
+
+def _scaled_column(h: str) -> Column:
+    def part(first: int, size: int) -> Column:
+        cells = F.slice(h, first + 1, size)
+        share = lambda total: F.transform(cells, lambda x: (1 - SMOOTHING) * F.when(total > 0, x / total).otherwise(1 / size) + SMOOTHING / size)
+        return let(_sum(cells), share)
+
+    return F.concat(part(0, N_CLASSES), part(N_CLASSES, N_CELLS - N_CLASSES))
 
 
 def _scaled(h: list[float]) -> list[float]:
@@ -134,7 +149,7 @@ def _distance(h: Column, reference: Column, first: int, size: int) -> Column:
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
-    """Adds __repeat: words in 3-word windows that occur twice or more in __words.
+    """Adds repeat: words in 3-word windows that occur twice or more in words.
 
     Windows are hashed; hashes that come back are those that equal their neighbour in
     sorted order, and the words covered by windows at positions p are 3, or the step
@@ -143,10 +158,10 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     """
     get, size = F.get, F.size
     none = F.expr("cast(array() as array<bigint>)")
-    windows = F.when(size("__words") >= 3, F.transform(F.sequence(F.lit(0), size("__words") - 3), lambda i: F.xxhash64(get("__words", i), get("__words", i + 1), get("__words", i + 2)))).otherwise(none)
-    df = df.withColumn("__win", windows)
-    df = df.withColumns({"__sorted": F.sort_array("__win"), "__fresh": size("__win") - size(F.array_distinct("__win"))})
-    df = df.withColumn("__twice", F.when(F.col("__fresh") > 0, F.array_distinct(F.filter("__sorted", lambda x, i: F.coalesce(get("__sorted", i - 1) == x, F.lit(False))))).otherwise(none))
+    windows = F.when(size("words") >= 3, F.transform(F.sequence(F.lit(0), size("words") - 3), lambda i: F.xxhash64(get("words", i), get("words", i + 1), get("words", i + 2)))).otherwise(none)
+    df = df.withColumn("win", windows)
+    df = df.withColumns({"sorted": F.sort_array("win"), "fresh": size("win") - size(F.array_distinct("win"))})
+    df = df.withColumn("twice", F.when(F.col("fresh") > 0, F.array_distinct(F.filter("sorted", lambda x, i: F.coalesce(get("sorted", i - 1) == x, F.lit(False))))).otherwise(none))
 
     def sorted_positions(win: Column) -> Column:
         def again(pairs: Column) -> Column:
@@ -155,103 +170,90 @@ def _with_repeats(df: DataFrame) -> DataFrame:
 
         return let(F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), again)
 
-    few = F.filter(F.transform("__win", lambda x, i: F.when(F.array_contains("__twice", x), i)), lambda i: i.isNotNull())
+    few = F.filter(F.transform("win", lambda x, i: F.when(F.array_contains("twice", x), i)), lambda i: i.isNotNull())
     nowhere = F.expr("cast(array() as array<int>)")
-    at = F.when(size("__twice") == 0, nowhere).when(size("__twice") <= 16, few).otherwise(sorted_positions(F.col("__win")))
+    at = F.when(size("twice") == 0, nowhere).when(size("twice") <= 16, few).otherwise(sorted_positions(F.col("win")))
     steps = lambda at: F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(get(at, j + 1) - p, F.lit(3))))
-    df = df.withColumn("__repeat", F.aggregate(let(at, steps), F.lit(0), lambda a, x: a + x).cast("long"))
-    return df.drop("__win", "__sorted", "__fresh", "__twice")
+    df = df.withColumn("repeat", F.aggregate(let(at, steps), F.lit(0), lambda a, x: a + x).cast("long"))
+    return df.drop("win", "sorted", "fresh", "twice")
 
 
 def _base_failed() -> Column:
-    return (F.col("__m.n_words") < MIN_BASE_WORDS) | (100 * F.col("__m.n_repeat_words") > 50 * F.col("__m.n_words"))
+    return (F.col("m.n_words") < MIN_BASE_WORDS) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
 
 
 def measure(docs: DataFrame, *keep: str) -> Stored:
-    """The named columns of ``docs``, __lang and the measures __m, stored."""
-
-    df = docs.select(*keep, F.col("lang").cast("string").alias("__lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    df = df.withColumn("__words", words_of(F.col("__text")))
-    df = _with_repeats(df.withColumn("__solid", F.length(F.array_join("__words", ""))))
-    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(WORD_CLASS))
+    """The named columns of ``docs`` as one column ``row``, with lang and the measures m, stored."""
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    df = df.withColumn("words", words_of(F.col("text")))
+    df = _with_repeats(df.withColumn("solid", F.length(F.array_join("words", ""))))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD_CLASS))
     m = F.struct(
-        F.size("__words").cast("long").alias("n_words"),
-        F.col("__solid").cast("long").alias("word_chars"),
+        F.size("words").cast("long").alias("n_words"),
+        F.col("solid").cast("long").alias("word_chars"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        F.col("__repeat").alias("n_repeat_words"),
-        _histogram(F.col("__text"), F.col("__words"), F.col("__solid")).alias("h"),
+        F.col("repeat").alias("n_repeat_words"),
+        _histogram(F.col("text"), F.col("words"), F.col("solid")).alias("h"),
     )
-    return store(df.select(*keep, "__lang", m.alias("__m")))
+    return store(df.select("row", "lang", m.alias("m")))
 
 
 def _odd_classes() -> Column:
-    return (F.col("__m.word_chars") >= MIN_CHARS) & (F.col("__d.c") > CLASS_LIMIT)
+    return (F.col("m.word_chars") >= MIN_CHARS) & (F.col("d.c") > CLASS_LIMIT)
 
 
 def _scaled_word_distance() -> Column:
-    return F.col("__d.w") * F.sqrt(F.least(F.col("__m.n_words"), F.lit(LONG_WORDS)))
+    return F.col("d.w") * F.sqrt(F.least(F.col("m.n_words"), F.lit(LONG_WORDS)))
 
 
-def word_limits(compared: DataFrame) -> dict[str | None, float]:
-    """Reference (None: the one over all) -> limit of the scaled word distance."""
-    good = compared.where(~_base_failed() & ~_odd_classes() & (F.col("__m.n_words") >= MIN_WORDS))
+def word_limits(compared: DataFrame) -> DataFrame:
+    """(ref, most): limit of the scaled word distance of each reference (null: the sum over all)."""
+    good = compared.where(~_base_failed() & ~_odd_classes() & (F.col("m.n_words") >= MIN_WORDS))
     # Counts of cells, so neither the order of rows nor the number of documents matters.
-    rows = good.groupBy("__of", F.ceil(_scaled_word_distance() / STEP).alias("cell")).count().collect()
-    cells: dict[str | None, list[tuple[int, int]]] = {}
-    for r in rows:
-        cells.setdefault(r["__of"], []).append((r["cell"], r["count"]))
-    out = {}
-    for name, found in cells.items():
-        low, middle = (_quantile(sorted(found), q) * STEP for q in (0.1, 0.5))
-        out[name] = max(LEAST_LIMIT, middle + SPREAD * (middle - low))
-    return out
+    cells = good.groupBy("ref", F.ceil(_scaled_word_distance() / STEP).cast("int").alias("cell")).count()
+    found = cells.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("cell", "count"))).alias("cells"), F.sum("count").alias("total"))
 
+    def quantile(q: float) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("cell"))
+        step = lambda a, x: F.struct((a["seen"] + x["count"]).alias("seen"), F.coalesce(a["cell"], F.when(a["seen"] + x["count"] >= q * F.col("total"), x["cell"])).alias("cell"))
+        return F.aggregate("cells", start, step)["cell"] * STEP
 
-def _quantile(cells: list[tuple[int, int]], q: float) -> int:
-    left = q * sum(n for _, n in cells)
-    for cell, n in cells:
-        left -= n
-        if left <= 0:
-            return cell
-    return cells[-1][0]
+    found = found.withColumns({"low": quantile(0.1), "middle": quantile(0.5)})
+    return found.select("ref", F.greatest(F.lit(LEAST_LIMIT), F.col("middle") + SPREAD * (F.col("middle") - F.col("low"))).alias("most"))
 
 
 def judge(measured: DataFrame) -> DataFrame:
-    """Adds the distances __d (c, w), __base_failed and __kept."""
-    refs = references(measured)
-    literal = lambda h: F.array(*[F.lit(x) for x in h])
-    own = {k: h for k, h in refs.items() if k is not None}
-    reference, lang = literal(refs[None]), F.coalesce(F.col("__lang"), F.lit(""))
-    if own:
-        reference = F.coalesce(F.try_element_at(F.create_map(*[x for k, h in own.items() for x in (F.lit(k), literal(h))]), lang), reference)
+    """Adds the distances d (c, w), base_failed and kept."""
+    own, general = references(measured)
+    few = own.count() <= BROADCAST_LANGUAGES
+    hint = F.broadcast if few else (lambda df: df)
+    df = measured.join(hint(own.select(F.col("lang").alias("ref"), F.col("h").alias("own"))), F.col("lang") == F.col("ref"), "left")
+    reference = F.coalesce("own", F.array(*[F.lit(x) for x in general]))
     distances = lambda z: F.struct(_distance(z["h"], z["r"], 0, N_CLASSES).alias("c"), _distance(z["h"], z["r"], N_CLASSES, N_CELLS - N_CLASSES).alias("w"))
-    df = measured.withColumn("__d", let(F.struct(F.col("__m.h").alias("h"), reference.alias("r")), distances))
-    limits = word_limits(df.withColumn("__of", F.when(lang.isin(*own), lang) if own else F.lit(None).cast("string")))
-    limit = F.lit(limits.get(None, LEAST_LIMIT))
-    if own:
-        limit = F.coalesce(F.try_element_at(F.create_map(*[x for k in own for x in (F.lit(k), F.lit(limits.get(k, LEAST_LIMIT)))]), lang), limit)
-    odd_words = (F.col("__m.n_words") >= MIN_WORDS) & (_scaled_word_distance() > limit)
-    df = df.withColumn("__base_failed", _base_failed())
-    return df.withColumn("__kept", ~F.col("__base_failed") & ~(_odd_classes() | odd_words))
+    df = df.withColumn("d", let(F.struct(F.col("m.h").alias("h"), reference.alias("r")), distances)).drop("own")
+    limits = store(word_limits(df)).df.select(F.col("ref").alias("of"), "most")
+    df = df.join(hint(limits), F.col("ref").eqNullSafe(F.col("of")), "left")
+    odd_words = (F.col("m.n_words") >= MIN_WORDS) & (_scaled_word_distance() > F.coalesce(F.col("most"), F.lit(LEAST_LIMIT)))
+    return df.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ~(_odd_classes() | odd_words))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed, kept and the two distances, for every row."""
-    symbols = F.col("__m.h")[_CLASS["symbol"]] + F.col("__m.h")[_CLASS["bar"]]
+    symbols = F.col("m.h")[_CLASS["symbol"]] + F.col("m.h")[_CLASS["bar"]]
     return judge(measure(docs, "doc_id").df).select(
-        "doc_id",
-        "__m.n_words",
-        "__m.word_chars",
+        "row.doc_id",
+        "m.n_words",
+        "m.word_chars",
         symbols.cast("long").alias("n_symbols"),
-        "__m.n_dup_lines",
-        "__m.n_repeat_words",
-        F.col("__base_failed").alias("base_failed"),
-        F.col("__kept").alias("kept"),
-        F.col("__d.c").alias("class_distance"),
-        F.col("__d.w").alias("word_distance"),
+        "m.n_dup_lines",
+        "m.n_repeat_words",
+        "base_failed",
+        "kept",
+        F.col("d.c").alias("class_distance"),
+        F.col("d.w").alias("word_distance"),
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass every rule, with the columns they came with."""
-    return judge(measure(docs, *docs.columns).df).where("__kept").select(*docs.columns)
+    return judge(measure(docs, *docs.columns).df).where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
