@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -343,6 +344,59 @@ def test_html(spark):
     assert html_text.extract(df).count() == len(rows) and html_text.extract(df.where("false")).count() == 0
 
 
+def test_html_keeps_all_of_an_article_and_nothing_around_it():
+    words = lambda n, w="word": " ".join([w] * n)
+    parts = '<p class="related">rel</p><div class="legal notices">leg</div>x<math><mi>y</mi></math>z<p><label>name</label></p>'
+    assert html_text.main_text(f"<article><p>{words(40)}</p>{parts}<div class=comments><p>no</p></div><p class='ad-slot'>buy</p></article>") == f"{words(40)}\nrel\nleg\nxyz\nname"
+    stories = "<section><h2>Other</h2><ul>" + "<li><a href=x>Other story one</a></li>" * 5 + "</ul></section>"
+    for one, two in (("<main><article>", "</article>"), ("<main><div>", "</div>"), ("<div class=page><div id=text>", "</div>")):
+        page = f"<body><div><a href=/>Home</a> <a href=/b>B</a></div>{one}<h1>Title</h1><p>{words(80)}</p><p>{words(50, 'more')}</p>{two}{stories}</main></body>"
+        assert html_text.main_text(page) == f"Title\n{words(80)}\n{words(50, 'more')}"
+    assert html_text.main_text(f"<html><head><title>t</title><p>{words(30)}<p>second") == f"{words(30)}\nsecond"
+
+
+def test_densities_equal_brute_force_on_pages_without_article():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        def grow(depth):
+            tag = ["div", "p", "section", "span", "a", "ul"][int(rng.integers(0, 6))]
+            inside = "".join(grow(depth - 1) if rng.random() < 0.6 and depth else " w" * int(rng.integers(0, 30)) for _ in range(int(rng.integers(1, 5))))
+            return f"<{tag}>{inside}</{tag}>"
+
+        tree = html_text.parse("<body>" + "".join(grow(3) for _ in range(4)) + "</body>")
+        m = html_text.Measures(tree)
+        n = len(tree.tags)
+        under = lambda k: [j for j in range(n) if j != k and k in path(j)]
+        path = lambda j: [j] + (path(tree.parents[j]) if tree.parents[j] >= 0 else [])
+        own, stack = [0] * n, []
+        for e in tree.events:
+            if isinstance(e, str):
+                own[stack[-1]] += len(e.replace(" ", ""))
+            else:
+                stack = [*stack, e] if e >= 0 else stack[:-1]
+        linked = lambda k: "a" in [tree.tags[j] for j in path(k)]
+        for k in range(n):
+            below = [k, *under(k)]
+            assert m.chars[k] == sum(own[j] for j in below) and m.tags[k] == len(below) - 1
+            if tree.tags[k] != "a":
+                assert m.link_tags[k] == sum(tree.tags[j] == "a" or linked(j) for j in below) - sum(linked(j) for j in [k]) * len(below) or linked(k)
+                assert linked(k) or m.link_chars[k] == sum(own[j] for j in below if linked(j))
+        dense = [k for k in range(1, n) if m.density[k] > 0]
+        if dense:
+            top = max(dense, key=lambda k: (m.density[k], -k))
+            least = min(m.density[j] for j in path(top) if j >= m.body)
+            sums = {k: sum(m.density[j] for j in range(n) if tree.parents[j] == k) for k in range(1, n) if m.density[k] >= least}
+            best = max(sums, key=lambda k: (sums[k], m.density[k], -k))
+            assert best in [j for j in under(html_text.article(tree))] + [html_text.article(tree)]
+
+
+@pytest.mark.parametrize("page", ["<a" * 5_000_000, "<p>" + "<b></i>" * 1_400_000, "<a \">'" * 1_600_000, "<script>" + "</script" * 1_200_000, "&#" * 5_000_000, "<b>" * 1_000_000 + "</i>" * 1_000_000], ids=range(6))
+def test_hostile_pages_of_ten_megabytes(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 60
+
+
 def licences_by_force(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     places = [(i, name) for phrase, name in license_scan.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
@@ -350,6 +404,51 @@ def licences_by_force(t):
     return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({n for _, n in places})))
 
 
+def labels_by_force(rows):
+    """Labels of each text: every template tried at every start."""
+    L, out = license_scan, {}
+    w = {d: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for d, t in rows}
+    idf = {x: math.log((len(rows) + 1) / (sum(x in set(v) for v in w.values()) + 0.5)) + 1e-6 for x in L.VOCABULARY}
+    for d, v in w.items():
+        found, best = {name for phrase, name in L.BASE.items() for i in range(len(v)) if v[i : i + len(phrase.split())] == phrase.split()}, 0.0
+        best = 1.0 if found else 0.0
+        for t in L._TEMPLATES:
+            order = sorted(set(t.words), key=lambda x: (-idf[x], x))
+            chosen = {x for x in order if idf[x] >= L.LEAST_IDF}
+            chosen = chosen if len(chosen) >= L.AGREE else set(order[: L.AGREE])
+            at = [(p, x) for p, x in enumerate(t.words) if x in chosen]
+            for s in range(-len(t.words), len(v)):
+                here = [idf[x] for p, x in at if 0 <= s + p < len(v) and v[s + p] == x]
+                if len(here) >= min(L.AGREE, len(at)) and s + t.offset >= 0 and v[s + t.offset : s + t.offset + len(t.key)] == t.key:
+                    found.add(t.label)
+                    best = max(best, sum(here) / sum(idf[x] for _, x in at))
+        out[d] = (",".join(sorted(found)), best)
+    return out
+
+
+def test_labels_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        label, text, key = license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)]
+        w = license_scan.split(text)
+        w = w[int(rng.integers(0, 4)) :] if k % 3 else w
+        w = [x if rng.random() > 0.05 * (k % 4) else "zz" for x in w]
+        rows.append((k, sentence(k, 20) + " " + " ".join(w) + " software fee " + sentence(k + 100, 10)))
+    rows += [(100, " ".join(license_scan.VOCABULARY)), (101, None), (102, "license " * 50)]
+    want = labels_by_force(rows)
+    assert len({x for x, _ in want.values()}) > 10
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: x for d, (x, _) in found.items()} == {d: x for d, (x, _) in want.items()}
+    assert all(found[d][1] == pytest.approx(min(1, want[d][1])) for d in want)
+
+
+def test_long_texts_of_licence_words_alone(spark):
+    text = "free charge granted software " * 200_000 + "All rights reserved."
+    r = license_scan.scan(spark.createDataFrame([(1, text), (2, "mit license " * 100_000)], "doc_id long, text string")).collect()
+    assert (r[0]["n_words"], r[0]["n_base"], r[0]["labels"]) == (800_003, 1, "reserved") and "mit" not in r[0]["labels"]
+
+
 def test_licences(spark, odd_docs, empty_docs):
     texts = {
         "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
@@ -357,6 +456,7 @@ def test_licences(spark, odd_docs, empty_docs):
         "x\nLicensed under the Apache License, Version 2.0.": "apache-2.0",
         "Released under the MIT License.": "mit",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+        "noninfringement merchantability tort. Reworded, but: released under our usual MIT License, as before. furnished sublicense": "mit",
         "the mit of a license": "",
         "general public licenses": "",
         "cc by cc by": "cc-by",
