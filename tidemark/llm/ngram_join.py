@@ -268,11 +268,13 @@ def connected(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
         near = both.df.join(old, F.col("b") == F.col("s")).groupBy("a").agg(F.min("root").alias("least"))
         # A root hears of what its members have seen, so whole trees merge in a round.
         seen = store(old.join(near, F.col("s") == F.col("a")).select("s", "root", F.least("root", "least").alias("to")))
-        up = seen.df.groupBy("root").agg(F.min("to").alias("up")).withColumnRenamed("root", "r")
-        next_roots = seen.df.join(up, F.col("root") == F.col("r"), "left").select("s", F.col("root").alias("was"), F.least("to", "up").alias("mid"))
-        jump = up.select(F.col("r").alias("r2"), F.col("up").alias("up2"))
+        # Stored, as Spark splits a skewed side only of a join of plain shuffles.
+        up = store(seen.df.groupBy("root").agg(F.min("to").alias("up")).withColumnRenamed("root", "r"))
+        next_roots = seen.df.join(up.df, F.col("root") == F.col("r"), "left").select("s", F.col("root").alias("was"), F.least("to", "up").alias("mid"))
+        jump = up.df.select(F.col("r").alias("r2"), F.col("up").alias("up2"))
         moved = store(next_roots.join(jump, F.col("mid") == F.col("r2"), "left").select("s", "was", F.least("mid", F.coalesce("up2", "mid")).alias("root")))
         seen.drop()
+        up.drop()
         labels.drop()
         changed = not moved.df.where("root <> was").isEmpty()
         labels = store(moved.df.select("s", "root")) if changed else moved
@@ -302,20 +304,22 @@ def _star(members: DataFrame) -> DataFrame:
     The centre of a key is the class that meets most others under its keys: of a group
     of near copies, the text that the others come from.
     """
-    size = members.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    weight = store(members.join(size, F.col("key") == F.col("k")).groupBy("s").agg(F.sum("size").alias("weight")))
+    size = store(members.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    weight = store(members.join(size.df, F.col("key") == F.col("k")).groupBy("s").agg(F.sum("size").alias("weight")))
     weighed = members.join(_small(weight.df.withColumnRenamed("s", "c")), F.col("s") == F.col("c")).select("key", "s", "weight")
-    centre = weighed.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", "s"))["s"].alias("centre"))
-    shared = members.join(centre, F.col("key") == F.col("k")).where("centre <> s").groupBy("s", "centre").count()
+    centre = store(weighed.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", "s"))["s"].alias("centre")))
+    size.drop()
+    shared = members.join(centre.df, F.col("key") == F.col("k")).where("centre <> s").groupBy("s", "centre").count()
     return shared.groupBy("s").agg(F.max_by("centre", F.struct("count", "centre")).alias("a")).select("a", F.col("s").alias("b"))
 
 
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): the classes of different components that share a key within their bounds."""
     label = store(members.join(roots.withColumnRenamed("s", "c"), F.col("s") == F.col("c"), "left").select("key", "s", "n", "most", F.coalesce("root", "s").alias("root")))
-    of_key = label.df.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("most").alias("bound")).where("lo <> hi")
-    alive = store(label.df.join(of_key, (F.col("key") == F.col("k")) & (F.col("n") <= F.col("bound")) & (F.col("most") >= F.col("least"))).select("key", "s", "n", "most", "root"))
+    of_key = store(label.df.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("most").alias("bound")).where("lo <> hi"))
+    alive = store(label.df.join(of_key.df, (F.col("key") == F.col("k")) & (F.col("n") <= F.col("bound")) & (F.col("most") >= F.col("least"))).select("key", "s", "n", "most", "root"))
     label.drop()
+    of_key.drop()
     one, two = (alive.df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("s", "n", "most", "root")]) for x in "ab")
     meet = "s_a < s_b and root_a <> root_b and n_a <= most_b and n_b <= most_a"
     out = store(one.join(two, "key").where(meet).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct())
