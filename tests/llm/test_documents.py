@@ -173,6 +173,18 @@ def test_languages_are_learned_and_spans_found(spark, odd_docs, empty_docs):
     assert language_id.predict(empty_docs, model).count() == 0
 
 
+def test_every_language_is_learned_and_long_texts_are_labelled(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "HELD_TABLES", 7)
+    stem = lambda k: f"{'bcdfghjklm'[k % 10]}{'aeiou'[k // 10 % 5]}{'npqrst'[k // 50]}"
+    rows = [(f"id{k}-{i}", " ".join(stem(k) * (1 + j % 3) for j in range(12)), f"l{k:03}") for k in range(200) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.langs) == 200
+    assert language_id.predict(docs, model).join(docs, "doc_id").where("lang_pred <> lang").isEmpty()
+    long = spark.createDataFrame([("a", f"{rows[0][1]} " * 20_000), ("b", f"{rows[0][1]} " * 9_000 + f"{rows[100][1]} " * 4_000)], "doc_id string, text string")
+    assert [r["lang_pred"] for r in language_id.predict(long, model).orderBy("doc_id").collect()] == ["l000", "l000"]
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(1)
     runs = [rng.normal(0, 3, (n, 3)) for n in (1, 5, 40, 40, 7)]
@@ -215,6 +227,33 @@ def test_quality_is_learned(spark, odd_docs, empty_docs):
     assert quality_classifier.predict(docs, None).first()["score"] == 0.5
 
 
+def kernel_by_force(model, x, y, new):
+    """Ridge regression on the same features, solved by least squares on stacked rows."""
+    f = model.features(x)
+    a = np.vstack([f, math.sqrt(quality_classifier.RIDGE) * np.eye(f.shape[1])])
+    a[-1, -1] = math.sqrt(1e-9)
+    beta = np.linalg.lstsq(a, np.concatenate([y, np.zeros(f.shape[1])]), rcond=None)[0]
+    return model.features(new) @ beta
+
+
+def test_normal_equations_over_partitions_equal_least_squares(spark):
+    rows = [(k, sentence(k, 20 + k % 60) + "#" * (k % 5 * 9)) for k in range(400)] + [(400, sentence(1, 200_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 < 2)) for k in range(400)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels, F.lit(True))
+    described = {r["doc_id"]: np.array(r["x"]) for r in quality_classifier._described(docs, "doc_id").collect()}
+    half = {r["doc_id"] for r in labels.where(F.pmod(F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1_000_000)) % 2, F.lit(2)) == 0).collect()}
+    x, y = np.array([described[k] for k in sorted(half)]), np.array([float(k % 5 < 2) for k in sorted(half)])
+    every = np.array([described[k] for k, _ in rows])
+    assert model.mean == pytest.approx(np.array([described[k] for k in range(400)]).mean(axis=0))
+    assert model.raw(every) == pytest.approx(kernel_by_force(model, x, y, every), abs=1e-5)
+    held = sorted((float(v), float(k % 5 < 2)) for k in range(400) if k not in half for v in model.raw(described[k][None]))
+    knots, values = quality_classifier.isotonic(np.array([v for v, _ in held]), np.array([t for _, t in held]))
+    want = np.clip(np.interp(model.raw(every), knots, values), 0, 1)
+    found = {r["doc_id"]: r["score"] for r in quality_classifier.predict(docs, model).collect()}
+    assert [found[k] for k, _ in rows] == pytest.approx(list(want), abs=1e-6)
+
+
 def test_isotonic_fit_increases():
     x = np.array([1.0, 2, 3, 4, 5, 6])
     knots, values = quality_classifier.isotonic(x, np.array([0, 1, 0, 0, 1, 1.0]))

@@ -12,14 +12,16 @@ Most texts need no search: if no run of words gains ``SWITCH`` nats against the
 single language, that language is the best path.  The others go through Viterbi
 together, one word of each at a time.
 
-Training takes whole texts of a bounded sample: for each of the ``MAX_LANGUAGES``
-most frequent values of ``lang``, about ``SAMPLE_DOCS`` documents picked by a hash of
-the id (all, where there are fewer).  Counts are summed per language in tasks that
-hold one table each; the driver gets one table of ``BUCKETS`` numbers per language.
+Training takes whole texts of a bounded sample: for every value of ``lang``, about
+``SAMPLE_DOCS`` documents picked by a hash of the id (all, where there are fewer).
+Counts are summed per language; tasks pass on what they have when they hold tables of
+``HELD_TABLES`` languages.  The model is a table of ``BUCKETS`` numbers (128 KB) per
+language on the driver and each executor: it grows with the languages, not with the documents.
 
 Defined results: a text that is null, empty or has no letter is ``und`` with score 0
 (also every text, if there is nothing to learn from); repeated rows get equal
-results; a null doc_id is predicted like any other; extra columns are ignored.
+results; ids may be of any type, a null doc_id is predicted like any other; very long
+texts take time and memory in proportion; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Block, blocks, lowered, trimmed
 
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 64
+HELD_TABLES = 256
 SAMPLE_DOCS = 4000
 SWITCH = 14.0
 SMOOTHING = 0.5
@@ -180,13 +182,13 @@ def label_blocks(column: pa.Array, model: Model, block_bytes: int):
 
 
 def _sample(train: DataFrame) -> tuple[list[str], DataFrame]:
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = train.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return [], train
-    part = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, SAMPLE_DOCS / r["count"]) * 1_000_000)))])
-    picked = train.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1_000_000)) < F.coalesce(F.try_element_at(part, F.col("lang")), F.lit(0)))
-    return langs, picked
+    parts = train.sparkSession.createDataFrame([(r["lang"], int(min(1.0, SAMPLE_DOCS / r["count"]) * 1_000_000)) for r in sizes], "l string, part int")
+    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1_000_000))
+    return langs, train.join(F.broadcast(parts), F.col("lang") == F.col("l")).where(chance < F.col("part"))
 
 
 def fit(docs: DataFrame, usable: Column | None = None) -> Model | None:
@@ -211,6 +213,9 @@ def fit(docs: DataFrame, usable: Column | None = None) -> Model | None:
                 for k in range(block.docs):
                     a, b = int(cuts[k]), int(cuts[k + 1])
                     if a < b:
+                        if len(sums) >= HELD_TABLES and int(owner[block.first + k]) not in sums:
+                            yield _packed(sums)
+                            sums.clear()
                         x = sums.setdefault(int(owner[block.first + k]), np.zeros(cells, np.int64))
                         x[:BUCKETS] += np.bincount(found[letters[a] : letters[b]], minlength=BUCKETS)
                         x[BUCKETS:] += np.bincount(scripts[a:b], minlength=len(_NAMES))

@@ -16,11 +16,17 @@ contexts once per worker.  Within a class, a word has its smoothed share of the
 training tokens, so a text's score is the sum over its tokens of the class's and the
 share's log10.
 
+The vocabulary is small on purpose: exact normalisers take (V+1)^3 steps a worker, and the
+700 words cover 44 % of the tokens of sf0.1 (404,000 distinct words); the others are predicted
+as classes, with their own counts within.  Steps are seeded by the texts of a task and averaged
+over tasks, so the model, and in a small way the scores, depend on how the table is
+dealt to tasks; the same files give the same model.
+
 Base score: sum of log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens.
 
 Defined results: a null text counts as empty (its one token is the end); rows with a
-null doc_id or with equal ids each get their own scores; extra columns are ignored; an
-empty table gives an empty table.
+null doc_id or with equal ids each get their own scores; ids may be of any type; very long
+texts take time and memory in proportion; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -292,7 +298,6 @@ def fit(docs: DataFrame, usable: Column) -> tuple[Model, DataFrame]:
     train = docs.where(usable).select(F.col("text").cast("string").alias("text"))
     counts = store(train.mapInArrow(trimmed(_count), "word binary, b int, n long").groupBy("word", "b").agg(F.sum("n").alias("n"))).df
     head = _most_frequent(counts.where("b >= 0"), HEAD)
-    top = {w for w, _ in head[:VOCAB]}
     tokens_of, words_of = np.zeros(BUCKETS), np.zeros(BUCKETS)
     end = total = distinct = 0
     for r in counts.groupBy("b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
@@ -305,7 +310,6 @@ def fit(docs: DataFrame, usable: Column) -> tuple[Model, DataFrame]:
     for w, n in head[:VOCAB]:
         tokens_of[bucket(w)] -= n
         words_of[bucket(w)] -= 1
-    assert len(top) <= VOCAB
     model = Model(head, end, total, distinct, tokens_of, words_of)
     if total:
         _train(train, model)

@@ -14,7 +14,8 @@ no text is shuffled.  Scoring is one pass over the documents.
 Defined results: null and empty texts are described by zeros and scored like any
 other; labels with a null quality or id are ignored; ids labelled twice count twice;
 with no usable labels every score is 0.5; with one class alone every score is that
-class; repeated rows get equal scores; extra columns are ignored.
+class; repeated rows get equal scores; ids may be of any type; very long texts take
+time and memory in proportion; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,15 +125,15 @@ def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
     """Learns ``quality`` (0 or 1) of the labels for which ``usable``, a function of doc_id, holds."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null").where(usable)
+    known = labels.select("doc_id", F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null").where(usable)
     n = known.count()
     if not n:
         return None
     part = F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1_000_000))
     sample = known.where(part < int(min(1.0, SAMPLE_ROWS / n) * 1_000_000)).withColumn("half", (part % 2).cast("int"))
     # About SAMPLE_ROWS rows of 20 bytes, whatever the number of labels.
-    rows = F.broadcast(sample.withColumnRenamed("doc_id", "__tm_id"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(rows, F.col("doc_id") == F.col("__tm_id"))
+    rows = F.broadcast(sample.select(F.col("doc_id").alias("labelled"), "y", "half"))
+    joined = docs.select("doc_id", "text").join(rows, F.col("doc_id") == F.col("labelled"))
     table = store(_described(joined, "y", "half").repartition(PARTS)).df
     if table.isEmpty():
         return None
