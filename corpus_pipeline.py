@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep
 the columns of ``documents``.  The last adds mix_size and mix_taken: the words of each
 document and the words of it that the mix takes, repeats counted.
+
+Defined results: a null, empty or short text fails the quality rules; a row with a null doc_id
+is judged like any other, but kept by the near-duplicate and leak stages, which can't
+name it; of rows with one doc_id and equal texts one stays; ties are settled by doc_id;
+very long texts are handled whole; empty tables go through; extra columns pass, whatever
+their names, but for mix_size and mix_taken.
 """
 
 from __future__ import annotations
