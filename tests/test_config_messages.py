@@ -1,12 +1,13 @@
 import datetime as dt
 import json
-import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources.config import ConfigError, build_request, parse_config, raw_key, run_date
+from tidemark.operators.rules import with_reasons
+from tidemark.plans.entities import SENSOR_READINGS
+from tidemark.sources.config import ConfigError, build_request, parse_config, raw_key, run_date, split_uri
 from tidemark.sources.messages import RECORD, latest_per_station, split_messages
 from tidemark.streaming.simulator import send, simulate
 
@@ -49,7 +50,8 @@ def test_all_problems_come_at_once():
 def test_requests_dates_and_keys():
     c = parse_config(TEXT)
     day = dt.date(2026, 1, 5)
-    url, _ = build_request(c.sources[0], c.stations[0], day)
+    url, headers = build_request(c.sources[0], c.stations[0], day)
+    assert "hourly=temperature_2m" in url and headers["User-Agent"].startswith("tidemark")
     assert "start_date=2026-01-05" in url and "timezone=UTC" in url and "temperature_2m%2C" in url
     url, headers = build_request(c.sources[1], c.stations[0], day)
     assert "Q1486" in url and headers["Accept"].startswith("application/sparql")
@@ -58,16 +60,40 @@ def test_requests_dates_and_keys():
     assert raw_key(c.sources[0], c.stations[0], day) == "open_meteo/hourly/date=2026-01-05/buenos_aires.json"
 
 
-def test_simulated_sensors():
+def test_simulated_sensors(spark, tmp_path):
     c = parse_config(TEXT)
-    now, rng = dt.datetime(2026, 1, 1, 12, 30, 20, tzinfo=dt.timezone.utc), random.Random(3)
-    made = [m for _ in range(300) for m in simulate(c.stations, c.streams[0], now, rng)]
-    ids = [m["event_id"] for m in made]
-    late = [now.replace(second=0) - dt.datetime.fromisoformat(m["observed_at"]) for m in made]
-    assert 900 + 40 < len(ids) < 900 + 150 and len(set(ids)) == 900
+    first = dt.datetime(2026, 1, 1, 12, 30, 20, tzinfo=dt.timezone.utc)
+    df = simulate(spark, c.stations, c.streams[0], first, 300, seed=3)
+    made = df.collect()
+    assert sorted(map(str, made)) == sorted(map(str, simulate(spark, c.stations, c.streams[0], first, 300, seed=3).repartition(5).collect()))
+    late = [r["sent_at"].replace(tzinfo=None) - dt.datetime.strptime(r["observed_at"], "%Y-%m-%dT%H:%M:%SZ") for r in made if not r["copy"]]
+    assert len(late) == 900 == len({r["event_id"] for r in made}) and 40 < sum(r["copy"] for r in made) < 150
     assert all(dt.timedelta(0) <= x <= dt.timedelta(minutes=90) for x in late) and 40 < sum(x > dt.timedelta(0) for x in late) < 200
-    batches = []
-    assert send(made[:25], batches.append, now, rng) == 25 and [len(b) for b in batches] == [10, 10, 5]
+    checked = with_reasons(SENSOR_READINGS.prepare(df.selectExpr("*", "'m' as _message_id")), SENSOR_READINGS.rules())
+    assert checked.where("size(rejection_reasons) > 0").isEmpty()
+    send(df, tmp_path / "queue")
+    files = list((tmp_path / "queue").glob("*.json"))
+    assert sum(len(f.read_text().splitlines()) for f in files) == len(made) and all(len(f.read_text().splitlines()) <= 10 for f in files)
+    rows, rejects = split_messages(spark.read.schema(RECORD).json(str(tmp_path / "queue")), "b", F.current_timestamp())
+    assert rows.count() == len(made) and rejects.isEmpty()
+
+
+def test_object_store_uris():
+    assert split_uri("s3://bucket/a/b.json") == ("bucket", "a/b.json") and split_uri("s3a://bucket") == ("bucket", "")
+    for bad in ("/a/b", "s3:/a", "https://bucket/a", "s3:///a"):
+        with pytest.raises(ValueError, match="isn't s3://"):
+            split_uri(bad)
+
+
+def test_entities_are_asked_for_by_their_source_only():
+    first, rest = TEXT.split("[[sources]]", 2)[1:][0], TEXT.split("[[streams]]")[1]
+    alone = "[[sources]]" + first + "[[streams]]" + rest
+    bare = "\n".join(x for x in alone.splitlines() if not x.startswith("entity_id"))
+    assert not any(s.entity_id for s in parse_config(bare).stations)
+    with pytest.raises(ConfigError, match="entity_id"):
+        parse_config("\n".join(x for x in TEXT.splitlines() if not x.startswith("entity_id")))
+    with pytest.raises(ConfigError, match="no sources"):
+        parse_config("[[streams]]" + rest)
 
 
 GOOD = {"event_id": "e", "station_id": "a", "observed_at": "2026-01-01T00:00:00Z", "temperature_c": 1.5, "relative_humidity_pct": 70, "precipitation_mm": 0, "wind_speed_kmh": 2.5}

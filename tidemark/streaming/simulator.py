@@ -1,62 +1,57 @@
-"""Simulated sensors: one reading per station and minute, with resends and late ones."""
+"""Simulated sensors: readings of every station and minute, drawn from seeded hashes.
+
+A draw is a hash of station, minute, seed and the draw's name, so the same call gives the
+same messages on any cluster, and any part can be made again after a loss.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
-import json
-import random
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Sequence
 from pathlib import Path
-from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.config import Station, Stream
 
-SEND_AT_ONCE = 10
-
-
-def simulate(stations: Sequence[Station], stream: Stream, now: dt.datetime, rng: random.Random) -> list[dict[str, Any]]:
-    """Messages of one minute; a resend repeats the event id, a late one has an earlier minute."""
-    out = []
-    minute = now.astimezone(dt.timezone.utc).replace(second=0, microsecond=0)
-    for s in stations:
-        late = rng.randint(1, stream.max_late_minutes) if rng.random() < stream.late_rate else 0
-        at = minute - dt.timedelta(minutes=late)
-        warm = 15 - abs(s.latitude) / 6 + 6 * (1 - abs(at.hour - 14) / 14)
-        message = {
-            "event_id": f"{rng.getrandbits(128):032x}",
-            "station_id": s.station_id,
-            "observed_at": at.strftime("%Y-%m-%dT%H:%M:%SZ"),
-            "temperature_c": round(rng.gauss(warm, 2), 1),
-            "relative_humidity_pct": rng.randint(30, 95),
-            "precipitation_mm": round(max(0.0, rng.gauss(-1, 1)), 1),
-            "wind_speed_kmh": round(abs(rng.gauss(12, 6)), 1),
-        }
-        out.append(message)
-        if rng.random() < stream.duplicate_rate:
-            out.append(dict(message))
-    return out
-
-
-def send(messages: Sequence[dict[str, Any]], put: Callable[[list[dict[str, Any]]], None], now: dt.datetime, rng: random.Random) -> int:
-    """Shuffles and hands over records in tens; returns how many."""
-    order = list(messages)
-    rng.shuffle(order)
-    stamp = str(int(now.timestamp() * 1000))
-    records = [{"messageId": f"{rng.getrandbits(128):032x}", "body": json.dumps(m), "SentTimestamp": stamp} for m in order]
-    for k in range(0, len(records), SEND_AT_ONCE):
-        put(records[k : k + SEND_AT_ONCE])
-    return len(records)
-
-
-def folder_queue(folder: str | Path) -> Callable[[list[dict[str, Any]]], None]:
-    """A queue as a folder of JSON-lines files, which a stream can read."""
-    folder = Path(folder)
-    folder.mkdir(parents=True, exist_ok=True)
-
-    def put(records: list[dict[str, Any]]) -> None:
-        name = f"{records[0]['SentTimestamp']}-{records[0]['messageId']}"
-        part = folder / f".{name}.tmp"
-        part.write_text("".join(json.dumps(r) + "\n" for r in records))
-        part.rename(folder / f"{name}.json")
-
-    return put
+PUT_AT_ONCE = 10
+_STEPS = 1 << 20
+
+
+def draw(name: str, seed: int) -> Column:
+    """A number from 0 to 1 (exclusive) for a row's station and minute."""
+    return F.pmod(F.xxhash64("station_id", "minute", F.lit(f"{seed}/{name}")), F.lit(_STEPS)) / float(_STEPS)
+
+
+def simulate(spark: SparkSession, stations: Sequence[Station], stream: Stream, first: dt.datetime, minutes: int = 1, seed: int = 0) -> DataFrame:
+    """Messages with ``sent_at`` and ``copy``: a resend is copy 1 of the same event; a late one has an earlier minute."""
+    sites = spark.createDataFrame([(s.station_id, float(s.latitude)) for s in stations], "station_id string, latitude double")
+    start = int(first.timestamp()) // 60
+    rows = sites.select("station_id", "latitude", F.explode(F.sequence(F.lit(start), F.lit(start + minutes - 1))).alias("minute"))
+    late = F.when(draw("late", seed) < stream.late_rate, 1 + F.floor(draw("by", seed) * stream.max_late_minutes)).otherwise(0)
+    rows = rows.withColumn("at", F.timestamp_seconds((F.col("minute") - late) * 60))
+    sun = F.sin((F.hour("at") - 9) * (math.pi / 12))
+    wobble = draw("w1", seed) + draw("w2", seed) + draw("w3", seed) - 1.5
+    copies = F.when(draw("again", seed) < stream.duplicate_rate, 2).otherwise(1)
+    return rows.select(
+        F.md5(F.concat_ws("/", "station_id", F.col("minute").cast("string"), F.lit(str(seed)))).alias("event_id"),
+        "station_id",
+        F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("observed_at"),
+        F.round(24 - F.abs("latitude") / 4 + 5 * sun + 3 * wobble, 1).alias("temperature_c"),
+        (35 + F.floor(60 * draw("damp", seed))).cast("int").alias("relative_humidity_pct"),
+        F.when(draw("rain", seed) < 0.1, F.round(-2 * F.log(1 - draw("amount", seed)), 1)).otherwise(0.0).alias("precipitation_mm"),
+        F.round(3 + 30 * F.pow(draw("wind", seed), 2), 1).alias("wind_speed_kmh"),
+        F.timestamp_seconds(F.col("minute") * 60).alias("sent_at"),
+        F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"),
+    )
+
+
+def send(messages: DataFrame, queue: str | Path, seed: int = 0) -> None:
+    """Writes records to a folder queue, ``PUT_AT_ONCE`` a file at most, in an order that isn't that of the events."""
+    body = F.to_json(F.struct(*[c for c in messages.columns if c not in ("sent_at", "copy")]))
+    records = messages.select(
+        F.md5(F.concat_ws("/", "event_id", F.col("copy").cast("string"), F.lit(f"message {seed}"))).alias("messageId"), body.alias("body"), F.unix_millis("sent_at").cast("string").alias("SentTimestamp")
+    )
+    records.sortWithinPartitions("messageId").write.mode("append").option("maxRecordsPerFile", PUT_AT_ONCE).json(str(queue))
