@@ -12,7 +12,7 @@ from tidemark.store.lake import Lake
 from tidemark.store.maintenance import Options
 from tidemark.streaming.cleaner import clean_stream, watermark_of
 from tidemark.streaming.consumer import run_consumer
-from tidemark.streaming.simulator import folder_queue, send, simulate
+from tidemark.streaming.simulator import send, simulate
 
 ROOT = Path(__file__).parent.parent
 CONFIG = parse_config((ROOT / "config" / "sources.toml").read_text())
@@ -96,24 +96,20 @@ def test_retry_and_lock(tmp_path):
 
 
 def test_stream_from_queue_to_silver(lake, spark, tmp_path):
-    now, rng = dt.datetime(2026, 1, 1, 12, 0, tzinfo=dt.timezone.utc), random.Random(5)
+    now = dt.datetime(2026, 1, 1, 12, 0, tzinfo=dt.timezone.utc)
     queue, marks = tmp_path / "queue", lake.table("ops", "watermarks")
     source = lake.table("00_bronze", "simulator_readings")
 
     def minutes(first, count):
-        sent = []
-        for k in range(first, first + count):
-            at = now + dt.timedelta(minutes=k)
-            made = simulate(CONFIG.stations, CONFIG.streams[0], at, rng)
-            sent += made
-            send(made, folder_queue(queue), at, rng)
-        return {m["event_id"]: (m["station_id"], m["observed_at"]) for m in sent}
+        made = simulate(spark, CONFIG.stations, CONFIG.streams[0], now + dt.timedelta(minutes=first), count, seed=5)
+        send(made, queue)
+        return {r["event_id"]: (r["station_id"], r["observed_at"]) for r in made.collect()}
 
     keys = minutes(0, 4)
-    folder_queue(queue)([{"messageId": "bad", "body": "not json", "SentTimestamp": "1767268800000"}])
+    (queue / "bad.json").write_text('{"messageId": "bad", "body": "not json", "SentTimestamp": "1767268800000"}\n')
     consume = lambda: run_consumer(lake, queue, tmp_path / "cp-queue", tmp_path / "dead", latest=("ops", "latest_readings"))
-    report = consume()[0]
-    assert not report["failed"] and report["latest"]["updated"] == 3
+    reports = consume()
+    assert not any(r["failed"] for r in reports) and sum(r["latest"]["updated"] for r in reports) >= 3
     assert lake.table("00_bronze", "simulator_readings_quarantine").read().count() == 1
     clean = lambda: clean_stream(lake, tmp_path / "cp-clean", marks)
     first = clean()
@@ -128,3 +124,17 @@ def test_stream_from_queue_to_silver(lake, spark, tmp_path):
     assert clean()["snapshot_id"] == second["snapshot_id"]
     newest = {r["station_id"]: r["observed_at"] for r in lake.table("ops", "latest_readings").read().collect()}
     assert newest == {s: max(t for x, t in keys.values() if x == s) for s in newest}
+
+
+def test_messages_come_again_and_then_go_to_the_dead_letters(lake, spark, tmp_path, monkeypatch):
+    queue = tmp_path / "queue"
+    queue.mkdir()
+    for k in range(12):
+        (queue / f"{k}.json").write_text(json.dumps({"messageId": f"m{k}", "body": "not json" if k % 2 else "{}", "SentTimestamp": "0"}) + "\n")
+    lake.table("00_bronze", "simulator_readings_quarantine").drop()
+    run = lambda: run_consumer(lake, queue, tmp_path / "cp", tmp_path / "dead", files_at_once=5)
+    tries = [run(), run(), run(), run()]
+    assert [len(r) for r in tries] == [3, 2, 2, 0] or [sum(x.get("dead", 0) for x in r) for r in tries] == [0, 0, 6, 0]
+    assert lake.table("00_bronze", "simulator_readings").read().count() == 6
+    dead = spark.read.json(str(tmp_path / "dead")).collect()
+    assert {r["messageId"] for r in dead} == {f"m{k}" for k in range(1, 12, 2)} and {r["tries"] for r in dead} == {3}

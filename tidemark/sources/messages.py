@@ -18,9 +18,10 @@ FIELDS = {"event_id": "string", "station_id": "string", "observed_at": "string",
 RECORD = "messageId string, body string, SentTimestamp string"
 
 
-def read_queue(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of records from a folder of JSON-lines files."""
-    return spark.readStream.schema(RECORD).json(folder)
+def read_queue(spark: SparkSession, folder: str, files_at_once: int | None = None) -> DataFrame:
+    """A stream of records, with the number of failed tries, from a folder of JSON-lines files."""
+    reader = spark.readStream.schema(RECORD + ", tries int")
+    return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).json(folder)
 
 
 def _type_of(value: Column) -> Column:
