@@ -30,6 +30,17 @@ def may_describe(table: Table, layers: Sequence[str] = ("gold",)) -> bool:
     return table.properties().get("layer") in layers
 
 
+def granted(lake: Lake, tags: dict[str, Sequence[str]]) -> list[str]:
+    """Tables that a role may use: those whose properties have one of the values of every tag granted."""
+    out = []
+    for db in lake.databases():
+        for name in lake.tables(db):
+            properties = lake.table(db, name).properties()
+            if tags and all(properties.get(tag) in values for tag, values in tags.items()):
+                out.append(f"{db}.{name}")
+    return out
+
+
 def view(lake: Lake, policy: Policy, name: str | None = None, scan_limit: int = SCAN_LIMIT) -> DataFrame:
     db, _, table = policy.table.partition(".")
     found = lake.table(db, table)
