@@ -168,7 +168,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select(F.concat(F.lit("m"), "event_id").alias("messageId"), body.alias("body"), F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("SentTimestamp"))
 
 
-@query(f"with {_MESSAGES} select message_id, cast(event_id as varchar) as event_id, 'u' || user_id as station_id, said as observed_at, v as temperature_c, cast(event_id % 110 as integer) as relative_humidity_pct, case when kind = 3 then 2.0 end as precipitation_mm, epoch_us(ts) // 1000 as sent from messages where kind not in (0, 1, 2, 4)")
+@query(f"with {_MESSAGES} select message_id, cast(event_id as varchar) as event_id, 'u' || user_id as station_id, said as observed_at, v as temperature_c, cast(event_id % 110 as integer) as relative_humidity_pct, case when kind = 3 then 2.0::double end as precipitation_mm, epoch_us(ts) // 1000 as sent from messages where kind not in (0, 1, 2, 4)")
 def message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The good side of the strict split."""
     rows, _ = split_messages(_records(spark, sf_dir), "b", F.lit(None).cast("timestamp"))
