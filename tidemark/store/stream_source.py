@@ -16,6 +16,8 @@ import pyarrow.parquet as pq
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from .lake import read_version
+
 NAME = "tidemark_snapshots"
 
 
@@ -23,7 +25,7 @@ def _newest(path: Path) -> dict:
     files = sorted((path / "metadata").glob("v*.json"))
     if not files:
         raise LookupError(f"no table at {path}")
-    return json.loads(files[-1].read_text())
+    return read_version(files[-1])
 
 
 class FilePart(InputPartition):
