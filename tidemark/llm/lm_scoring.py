@@ -32,7 +32,7 @@ texts take time and memory in proportion; extra columns are ignored; an empty ta
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,18 @@ def _raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+class Entries(dict):
+    """Word -> entry of a model, looked up once for each word."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = self.model.entry(word)
+        return found
+
+
 def _slices(batch: pa.RecordBatch, k: int, bytes_held: int = 4 << 20):
     """Row ranges of a batch with about so many bytes of text each."""
     lens = np.cumsum([len(x) if x is not None else 0 for x in _raw(batch.column(k))]) if batch.num_rows else np.zeros(0)
@@ -135,10 +147,6 @@ class Model:
         k = self.ids.get(word)
         return VOCAB + 1 + bucket(word) if k is None else k
 
-    def share(self, word_count: float, b: int) -> float:
-        """log10 of a word's share of its class."""
-        return float(np.log10((word_count + 0.5) / (self.bucket_tokens[b] + 0.5 * (self.bucket_words[b] + 1))))
-
     def parameters(self) -> list[np.ndarray]:
         return [self.r, self.c1, self.c2, self.q, self.bias]
 
@@ -242,14 +250,8 @@ def _train(docs: DataFrame, model: Model) -> None:
             for batch in batches:
                 texts = _raw(batch.column(0))
                 for a, b in _slices(batch, 0):
-                    entry = {}
-                    sequences = []
-                    for t in texts[a:b]:
-                        w = tokens(t)
-                        for x in w:
-                            if x not in entry:
-                                entry[x] = m.entry(x)
-                        sequences.append(np.array([*map(entry.__getitem__, w), _END], dtype=np.int64))
+                    entry = Entries(m).__getitem__
+                    sequences = [np.array([*map(entry, tokens(t)), _END], dtype=np.int64) for t in texts[a:b]]
                     ids, h1, h2 = contexts(sequences)
                     seed = zlib.crc32(ids[:4096].tobytes(), seed)
                     rng = np.random.default_rng(seed)
@@ -325,55 +327,51 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def run(batches):
         """One row for each text (word null), and one for each of its words outside the head."""
         m = shared.value
-        base = {w: np.log10((n + 0.5) / m.denominator()) for w, n in m.counts.items()}
         end_base = float(np.log10((m.end + 0.5) / m.denominator()))
         row = 0
         for batch in batches:
             texts = _raw(batch.column(1))
             for a, b in _slices(batch, 1):
-                info: dict[bytes, tuple[int, float, float]] = {}
-                sequences, bases, shares, sizes, known = [], [], [], [], []
-                far_doc, far_word, far_n = [], [], []
-                for i in range(a, b):
-                    w = tokens(texts[i])
-                    rest = Counter()
-                    for x in w:
-                        if x not in info:
-                            n = m.counts.get(x)
-                            k = m.entry(x)
-                            info[x] = (k, 0.0 if n is None else base[x], 0.0 if n is None or k <= VOCAB else m.share(n, k - VOCAB - 1), n is not None)
-                    got = [info[x] for x in w]
-                    if got:
-                        ids, bs, sh, near = zip(*got)
-                        if not all(near):
-                            rest.update(x for x, y in zip(w, near) if not y)
-                    else:
-                        ids, bs, sh, near = (), (), (), ()
-                    sequences.append(np.array([*ids, _END], dtype=np.int64))
-                    bases.append(float(np.sum(bs)) + end_base)
-                    shares.append(float(np.sum(sh)))
-                    sizes.append(len(w) + 1)
-                    known.append(sum(near) + (m.end > 0))
-                    far_doc += [i] * len(rest)
-                    far_word += rest
-                    far_n += rest.values()
-                flat, h1, h2 = contexts(sequences)
-                first = np.cumsum([0] + sizes[:-1])
+                # Words get numbers in the order they come; the last number is the end.
+                number: defaultdict[bytes, int] = defaultdict()
+                number.default_factory = number.__len__
+                numbered = [list(map(number.__getitem__, tokens(t))) for t in texts[a:b]]
+                distinct, end = list(number), len(number)
+                counts = np.array([m.counts.get(w, -1) for w in distinct] + [m.end], dtype=np.int64)
+                entry = np.array([m.entry(w) for w in distinct] + [_END], dtype=np.int64)
+                near = counts >= 0
+                classed = near & (entry > VOCAB)
+                base = np.where(near, np.log10((counts.clip(0) + 0.5) / m.denominator()), 0.0)
+                base[end] = end_base
+                at = (entry - VOCAB - 1).clip(0)
+                share = np.where(classed, np.log10((counts.clip(0) + 0.5) / (m.bucket_tokens[at] + 0.5 * (m.bucket_words[at] + 1))), 0.0)
+                known_word = near.copy()
+                known_word[end] = m.end > 0
+                sizes = np.array([len(w) + 1 for w in numbered], dtype=np.int64)
+                first = np.cumsum(sizes) - sizes
+                flat_number = np.full(int(sizes.sum()), end, dtype=np.int64)
+                for k, w in zip(first, numbered):
+                    flat_number[k : k + len(w)] = w
+                bases, shares, known = (np.add.reduceat(x[flat_number], first) for x in (base, share, known_word.astype(np.int64)))
+                # Words outside the head, counted for each text.
+                far = np.flatnonzero(~near[flat_number])
+                pair, far_n = np.unique(np.repeat(np.arange(a, b), sizes)[far] * (end + 1) + flat_number[far], return_counts=True)
+                far_doc, far_word = pair // (end + 1), [distinct[k] for k in (pair % (end + 1)).tolist()]
+                flat, h1, h2 = contexts(np.split(entry[flat_number], first[1:]))
                 neural = np.add.reduceat(m.log10_probabilities(flat, h1, h2).astype(np.float64), first)
                 n = b - a
-                at = np.array(far_doc, dtype=np.int64)
-                rows = np.concatenate((np.arange(row, row + n), row + at - a)).astype(np.int64)
+                rows = np.concatenate((np.arange(row, row + n), row + far_doc - a)).astype(np.int64)
                 row += n
                 far = len(far_word)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(np.concatenate((np.arange(a, b), at)))),
+                        batch.column(0).take(pa.array(np.concatenate((np.arange(a, b), far_doc)))),
                         pa.array(rows),
                         pa.array([None] * n + far_word, pa.binary()),
                         pa.array(np.concatenate((sizes, far_n)).astype(np.int64)),
                         pa.array(np.concatenate((known, np.zeros(far))).astype(np.int64)),
                         pa.array(np.concatenate((bases, np.zeros(far)))),
-                        pa.array(np.concatenate((neural + np.array(shares), np.zeros(far)))),
+                        pa.array(np.concatenate((neural + shares, np.zeros(far)))),
                     ],
                     names=["doc_id", "row", "word", "n", "known", "base", "score"],
                 )
