@@ -17,8 +17,8 @@ ever become keys.  The order changes only cost; any order is lossless, up to equ
 64-bit hashes of different shingles or sets.
 
 The dealt form of the pigeonhole, on segments of the parity bit sketch, isn't used to find
-candidates: at 3/4 a segment would hold 3.5 shingles, and either few bits, which unlike
-texts share by chance, or the shingles of a common passage.  Parity sketches prune the
+candidates: at 3/4 a segment holds 3.5 shingles, and 64 to 78 % of all pairs of a band of
+sf0.01 share one (see the README).  Parity sketches prune the
 candidates: the Hamming distance of two sketches never exceeds the symmetric difference.
 
 Equal sets share their 64-bit set hash and count as one class.  Classes that share a
@@ -368,7 +368,9 @@ def components(docs: DataFrame) -> DataFrame:
     documents, roots = classes(docs)
     named = documents.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("least"))
     named = named.join(roots, "s", "left").select("s", "least", F.coalesce("root", "s").alias("root"))
-    heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Both stored, so that the members of a large component can be split among tasks.
+    named = store(named).df
+    heads = store(named.groupBy("root").agg(F.min("least").alias("component_id"))).df
     of_class = named.join(heads, "root").select(F.col("s").alias("c"), "component_id")
     joined = documents.join(of_class, F.col("s") == F.col("c"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("s").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
