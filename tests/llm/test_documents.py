@@ -351,11 +351,14 @@ def test_lm_probabilities_are_normalised_and_training_helps():
     rng = np.random.default_rng(0)
     head = [(f"w{k}".encode(), 1000 - k) for k in range(lm_scoring.VOCAB + 50)]
     m = lm_scoring.Model(head, 100, 10**6, 2000, np.full(lm_scoring.BUCKETS, 10.0), np.full(lm_scoring.BUCKETS, 3.0))
-    every = np.arange(lm_scoring.WORDS)
+    first, last = lm_scoring.FIRST_NEAR, lm_scoring.FIRST_NEAR + 50
+    assert len(m.entries) == last and len(set(m.group)) > 10
+    every = np.concatenate((np.arange(lm_scoring._GROUP), np.arange(first, last)))  # every word, class and the end
     total = lambda: (10 ** m.log10_probabilities(every, np.full_like(every, 3), np.full_like(every, 5)).astype(float)).sum()
     assert total() == pytest.approx(1, abs=1e-4)
-    ids = np.tile([1, 2, 3, 4, 5, 6, 7, 8], 2000)
+    ids = np.tile([1, 2, 3, first + 40, 5, 6, first + 45, 8], 2000)
     ids, h1, h2 = lm_scoring.contexts([ids])
+    h1, h2 = m.entries[h1], m.entries[h2]
     before = m.log10_probabilities(ids, h1, h2).mean()
     for _ in range(60):
         lm_scoring.train_step(m, ids[:4096], h1[:4096], h2[:4096], rng)
@@ -363,6 +366,33 @@ def test_lm_probabilities_are_normalised_and_training_helps():
     assert m.log10_probabilities(ids, h1, h2).mean() > before + 0.5 and total() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_words_are_told_apart_within_their_group_by_context():
+    rng = np.random.default_rng(0)
+    m = lm_scoring.Model([(f"w{k}".encode(), 1000) for k in range(lm_scoring.VOCAB + lm_scoring.GROUPS * 4)], 100, 10**6, 2000, np.full(lm_scoring.BUCKETS, 10.0), np.full(lm_scoring.BUCKETS, 3.0))
+    one, two = lm_scoring.FIRST_NEAR, lm_scoring.FIRST_NEAR + 1
+    assert m.group[0] == m.group[1]
+    ids, h1, h2 = lm_scoring.contexts([np.tile([3, one, 9, two], 1024)])
+    h1, h2 = m.entries[h1], m.entries[h2]
+    for _ in range(300):
+        lm_scoring.train_step(m, ids, h1, h2, rng)
+    m._z = None
+    score = lambda w, h: float(m.log10_probabilities(np.array([w]), np.array([h]), m.entries[np.array([two if h == 3 else one])])[0])
+    assert score(one, 3) > score(two, 3) + 0.5 and score(two, 9) > score(one, 9) + 0.5
+
+
+def test_lm_parameters_are_averaged_by_steps():
+    head = [(f"w{k}".encode(), 1000) for k in range(lm_scoring.VOCAB + 3)]
+    tasks = [lm_scoring.Model(head, 1, 10, 10, np.zeros(lm_scoring.BUCKETS), np.zeros(lm_scoring.BUCKETS)) for _ in range(3)]
+    for k, m in enumerate(tasks[1:]):
+        m.near_steps = np.array([k, 3 * k + 1, 0.0])
+        m.near_q = m.near_q + np.float32(k + 1)
+        m.bias = m.bias + np.float32(k + 1)
+    packed = sum(np.frombuffer(lm_scoring._pack(w, m), np.float32).astype(float) for w, m in zip((100, 300), tasks[1:]))
+    *_, bias, near_q, near_bias = lm_scoring._unpack(packed, tasks[0])
+    assert np.allclose(bias, tasks[0].bias + 1.75, atol=1e-4)
+    assert np.allclose(near_q[:, 0], [2, 1.8, 0]) and np.allclose(near_bias, tasks[0].near_bias)
+
+
 # ------------------------------------------------------------------ HTML, licences
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav>

@@ -5,20 +5,22 @@ all training texts are gathered in a table (one row per word), which grows with
 corpus.  The ``HEAD`` most frequent words go to every executor; all other words of a
 document meet their counts in a join on the word, none of which is frequent.
 
-The neural vocabulary is the ``VOCAB`` most frequent words, the end, and ``BUCKETS``
-classes of other words by their last two bytes.  A context of two entries predicts the
-next: score(w | h) = (C1 r[h1] + C2 r[h2]) . q[w] + b[w].  Training is one pass over
-all training texts in each of ``ROUNDS`` rounds: every partition runs stochastic
-gradient steps of NCE in numpy with noise shared by a batch (the unigram
-distribution), and parameters are averaged, weighted by tokens.  Scores are exact log
-probabilities: batched matrix products give the normaliser of each of the (V+1)^2
-contexts once per worker.  Within a class, a word has its smoothed share of the class's
-training tokens, so a text's score is the sum over its tokens of the class's and the
-share's log10.
-
-The vocabulary is small on purpose: exact normalisers take (V+1)^3 steps a worker, and the
-700 words cover 44 % of the tokens of sf0.1 (404,000 distinct words); the others are predicted
-as classes, with their own counts within.  Steps are seeded by the texts of a task and averaged
+Every word of the head that training texts have ``LEAST_SEEN`` times has vectors of its
+own, so the neural vocabulary grows with the corpus.  Prediction takes two levels.  Of the first
+level are the ``VOCAB`` most frequent words, the end, ``GROUPS`` groups of the other words with
+vectors (in order of frequency, cut at equal steps of the sum of the roots of their
+counts), and ``BUCKETS`` classes of the words without, by their last two bytes.  The second
+level is the word within its group.  A context of two entries of the first level predicts with
+one vector h = C1 r[h1] + C2 r[h2] on both levels: score(w | h) = h . q[w] + b[w].
+Training is one pass over all training texts in each of ``ROUNDS`` rounds: every partition runs
+stochastic gradient steps of NCE in numpy, on the first level with noise shared by a batch (the unigram
+distribution), within a group with ``NEAR_NOISE`` words of the group for each token; parameters
+are averaged, weighted by tokens (a word's vectors within its group by its steps).  Scores are exact log probabilities: batched
+matrix products give the normaliser of each pair of context entries once per worker, and that
+of a token's group for each token.  Within a class, a word has its smoothed share of the class's
+training tokens.
+
+Steps are seeded by the texts of a task and averaged
 over tasks, so the model, and in a small way the scores, depend on how the table is
 dealt to tasks; the same files give the same model.
 
@@ -42,19 +44,27 @@ from pyspark.sql import functions as F
 from .common import store, trimmed
 
 HEAD = 60_000
-VOCAB = 700
+VOCAB = 400
 BUCKETS = 64
+GROUPS = 256
+LEAST_SEEN = 30
 SIZE = 16
 BATCH = 4096
 NOISE = 24
+NEAR_NOISE = 4
 RATE = 0.2
+NEAR_RATE = 0.1
 ROUNDS = 1
 FLUSH = 300_000
 #: Number of tasks whose parameters are averaged at once on an executor.
 AVERAGERS = 8
-_START = VOCAB + 1 + BUCKETS  # context before the first token; never predicted
-WORDS = _START  # entries that can be predicted
+#: Tokens whose groups are normalised at once.
+NEAR_BATCH = 1 << 14
 _END = VOCAB
+_GROUP = VOCAB + 1 + BUCKETS  # the first group's entry
+_START = _GROUP + GROUPS  # context before the first token; never predicted
+WORDS = _START  # entries of the first level that can be predicted
+FIRST_NEAR = _START + 1  # code of the first word of a group; smaller codes are entries
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -70,15 +80,15 @@ def _raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-class Entries(dict):
-    """Word -> entry of a model, looked up once for each word."""
+class Codes(dict):
+    """Word -> code of a model, looked up once for each word."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = found = self.model.entry(word)
+        self[word] = found = self.model.code(word)
         return found
 
 
@@ -117,19 +127,35 @@ def flush_empty() -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int32()), pa.array([], pa.int64())], names=["word", "b", "n"])
 
 
+def with_vectors(head: list[tuple[bytes, int]]) -> int:
+    """Number of the head's words that have vectors of their own."""
+    return max(min(VOCAB, len(head)), sum(n >= LEAST_SEEN for _, n in head))
+
+
 class Model:
     """Head counts, parameters and, on first use, normalisers."""
 
     def __init__(self, head: list[tuple[bytes, int]], end: int, total: int, distinct: int, bucket_tokens: np.ndarray, bucket_words: np.ndarray):
         self.counts = {w: n for w, n in head}
-        self.ids = {w: k for k, (w, _) in enumerate(head[:VOCAB])}
+        near = np.array([n for _, n in head[VOCAB : with_vectors(head)]], dtype=np.float64)
+        self.codes = {w: k if k < VOCAB else FIRST_NEAR + k - VOCAB for k, (w, _) in enumerate(head[: with_vectors(head)])}
+        roots = np.cumsum(np.sqrt(near))
+        self.group = np.minimum(GROUPS - 1, GROUPS * (roots - np.sqrt(near)) / roots[-1]).astype(np.int64) if len(near) else np.zeros(0, np.int64)
+        self.first = np.searchsorted(self.group, np.arange(GROUPS + 1))
+        self.entries = np.concatenate((np.arange(FIRST_NEAR), _GROUP + self.group))  # code -> entry
+        self.sums = np.concatenate(([0.0], np.cumsum(near)))
+        mass = np.diff(self.sums[self.first])
+        self.near_bias = np.log(near / mass[self.group]).astype(np.float32) if len(near) else np.zeros(0, np.float32)
+        self.near_noise = self.near_bias + np.float32(np.log(NEAR_NOISE))
+        self.near_q = np.zeros((len(near), SIZE), dtype=np.float32)
         self.end, self.total, self.distinct = end, total, distinct
         self.bucket_tokens, self.bucket_words = bucket_tokens, bucket_words
         unigram = np.full(WORDS, 0.5)
         for k, (_, n) in enumerate(head[:VOCAB]):
             unigram[k] += n
         unigram[_END] += end
-        unigram[VOCAB + 1 :] += bucket_tokens
+        unigram[VOCAB + 1 : _GROUP] += bucket_tokens
+        unigram[_GROUP:] = np.where(mass > 0, mass, 1e-9)  # an empty group takes nothing
         self.noise = unigram / unigram.sum()
         rng = np.random.default_rng(7)
         self.r = rng.normal(0, 0.1, (_START + 1, SIZE)).astype(np.float32)
@@ -139,19 +165,21 @@ class Model:
         self.bias = np.log(self.noise).astype(np.float32)
         self._z: np.ndarray | None = None
         self.squares: list[np.ndarray] | None = None
+        self.near_squares: np.ndarray | None = None
+        self.near_steps = np.zeros(len(near))
 
     def denominator(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
-    def entry(self, word: bytes) -> int:
-        k = self.ids.get(word)
+    def code(self, word: bytes) -> int:
+        k = self.codes.get(word)
         return VOCAB + 1 + bucket(word) if k is None else k
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.r, self.c1, self.c2, self.q, self.bias]
+        return [self.r, self.c1, self.c2, self.q, self.bias, self.near_q, self.near_bias]
 
     def set_parameters(self, p: list[np.ndarray]) -> None:
-        self.r, self.c1, self.c2, self.q, self.bias = p
+        self.r, self.c1, self.c2, self.q, self.bias, self.near_q, self.near_bias = p
         self._z = None
 
     def left(self) -> tuple[np.ndarray, np.ndarray]:
@@ -169,12 +197,26 @@ class Model:
             self._z = z
         return self._z
 
-    def log10_probabilities(self, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Normalised log10 P of the entries ``ids`` after h1 (the last) and h2 (the one before)."""
+    def log10_probabilities(self, codes: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Normalised log10 P of ``codes`` after the entries h1 (the last) and h2 (the one before)."""
         one, two = self.left()
         z = self.normalisers()
-        s = np.einsum("ij,ij->i", one[h1] + two[h2], self.q[ids]) + self.bias[ids]
-        return (s - z[h1, h2]) / np.float32(np.log(10))
+        ids = self.entries[codes]
+        s = np.einsum("ij,ij->i", one[h1] + two[h2], self.q[ids]) + self.bias[ids] - z[h1, h2]
+        near = np.flatnonzero(codes >= FIRST_NEAR)
+        near = near[np.argsort(codes[near], kind="stable")]
+        words = codes[near] - FIRST_NEAR
+        cuts = np.searchsorted(words, self.first)
+        for g in np.flatnonzero(np.diff(cuts)):
+            low, high = self.first[g], self.first[g + 1]
+            for a in range(cuts[g], cuts[g + 1], NEAR_BATCH):
+                at = near[a : min(a + NEAR_BATCH, cuts[g + 1])]
+                t = (one[h1[at]] + two[h2[at]]) @ self.near_q[low:high].T + self.near_bias[low:high]
+                own = t[np.arange(len(at)), codes[at] - FIRST_NEAR - low]
+                top = t.max(axis=1)
+                t -= top[:, None]
+                s[at] += own - top - np.log(np.exp(t, out=t).sum(axis=1))
+        return s / np.float32(np.log(10))
 
 
 def contexts(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,18 +232,48 @@ def contexts(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return ids, h1, h2
 
 
-def _summed(rows: int, index: np.ndarray, grad: np.ndarray) -> np.ndarray:
-    """Gradient rows added up by index."""
-    order = np.argsort(index.astype(np.int16), kind="stable")
+def _sums(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in ``index``, and the gradient rows of each added up."""
+    order = np.argsort(index.astype(np.uint16), kind="stable")  # no head is larger
     where = index[order]
     first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+    return where[first], np.add.reduceat(grad[order], first, axis=0)
+
+
+def _summed(rows: int, index: np.ndarray, grad: np.ndarray) -> np.ndarray:
+    """Gradient rows added up by index."""
     out = np.zeros((rows, *grad.shape[1:]), dtype=np.float32)
-    out[where[first]] = np.add.reduceat(grad[order], first, axis=0)
+    where, sums = _sums(index, grad)
+    out[where] = sums
     return out
 
 
-def train_step(m: Model, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray, rng: np.random.Generator) -> None:
+def _near_step(m: Model, words: np.ndarray, h: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """NCE of words within their groups, an Adagrad step on the rows met; returns h's gradient."""
+    g = m.group[words]
+    low, high = m.sums[m.first[g]], m.sums[m.first[g + 1]]
+    noise = np.searchsorted(m.sums, low[:, None] + rng.random((len(words), NEAR_NOISE)) * (high - low)[:, None], side="right") - 1
+    rows = np.column_stack((words, np.clip(noise, m.first[g][:, None], m.first[g + 1][:, None] - 1)))
+    q = m.near_q[rows]
+    s = np.matmul(q, h[:, :, None])[:, :, 0] + m.near_bias[rows] - m.near_noise[rows]
+    slope = -1 / (1 + np.exp(-s.clip(-30, 30)))
+    slope[:, 0] += 1
+    grad = np.concatenate((slope[:, :, None] * h[:, None, :], slope[:, :, None], np.ones_like(slope)[:, :, None]), axis=2)
+    where, sums = _sums(rows.ravel(), grad.reshape(-1, SIZE + 2))
+    m.near_steps[where] += sums[:, -1]
+    sums = sums[:, :-1]
+    if m.near_squares is None:
+        m.near_squares = np.ones((len(m.near_bias), SIZE + 1), dtype=np.float32)
+    m.near_squares[where] += sums * sums
+    step = np.float32(NEAR_RATE) * sums / np.sqrt(m.near_squares[where])
+    m.near_q[where] += step[:, :SIZE]
+    m.near_bias[where] += step[:, SIZE]
+    return np.matmul(slope[:, None, :], q)[:, 0]
+
+
+def train_step(m: Model, codes: np.ndarray, h1: np.ndarray, h2: np.ndarray, rng: np.random.Generator) -> None:
     """One batch of NCE (data against NOISE samples shared by the batch), an Adagrad step."""
+    ids = m.entries[codes]
     k = rng.choice(WORDS, NOISE, p=m.noise)
     log_noise = np.log(m.noise * NOISE).astype(np.float32)
     r1, r2 = m.r[h1], m.r[h2]
@@ -210,6 +282,9 @@ def train_step(m: Model, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray, rng: n
     up = 1 / (1 + np.exp((np.einsum("ij,ij->i", h, q) + m.bias[ids] - log_noise[ids]).clip(-30, 30)))
     down = -1 / (1 + np.exp(-(h @ qk.T + m.bias[k] - log_noise[k]).clip(-30, 30)))
     gh = up[:, None] * q + down @ qk
+    near = np.flatnonzero(codes >= FIRST_NEAR)
+    if len(near):
+        gh[near] += _near_step(m, codes[near] - FIRST_NEAR, h[near], rng)
     gq = _summed(WORDS, ids, up[:, None] * h)
     gb = np.bincount(ids, up, WORDS).astype(np.float32)
     np.add.at(gq, k, down.T @ h)
@@ -224,15 +299,24 @@ def train_step(m: Model, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray, rng: n
         p += np.float32(RATE) * g / np.sqrt(s)
 
 
-def _pack(weight: float, parameters: list[np.ndarray]) -> bytes:
-    return np.concatenate([[weight], *[p.ravel() * weight for p in parameters]]).astype(np.float64).tobytes()
+def _pack(weight: float, m: Model) -> bytes:
+    """Weights and weighted parameters of one task."""
+    *shared, near_q, near_bias = m.parameters()
+    parts = [[weight], *[p.ravel() * np.float64(weight) for p in shared], m.near_steps, (near_q * m.near_steps[:, None]).ravel(), near_bias * m.near_steps]
+    return np.concatenate(parts).astype(np.float32).tobytes()
 
 
-def _unpack(total: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+def _unpack(total: np.ndarray, m: Model) -> list[np.ndarray]:
+    """Means of what tasks packed; a word no task met keeps what it has."""
+    *shared, near_q, near_bias = m.parameters()
     out, at = [], 1
-    for p in like:
+    for p in shared:
         out.append((total[at : at + p.size] / total[0]).reshape(p.shape).astype(np.float32))
         at += p.size
+    steps, q, bias = np.split(total[at:], [len(near_bias), len(near_bias) + near_q.size])
+    met, over = steps > 0, np.maximum(steps, 1)
+    out.append(np.where(met[:, None], q.reshape(near_q.shape) / over[:, None], near_q).astype(np.float32))
+    out.append(np.where(met, bias / over, near_bias).astype(np.float32))
     return out
 
 
@@ -246,13 +330,15 @@ def _train(docs: DataFrame, model: Model) -> None:
 
             m = copy(shared.value)
             m.set_parameters([p.copy() for p in m.parameters()])
+            m.near_steps = np.zeros(len(m.near_bias))
             seen, seed = 0, 0
             for batch in batches:
                 texts = _raw(batch.column(0))
                 for a, b in _slices(batch, 0):
-                    entry = Entries(m).__getitem__
-                    sequences = [np.array([*map(entry, tokens(t)), _END], dtype=np.int64) for t in texts[a:b]]
+                    code = Codes(m).__getitem__
+                    sequences = [np.array([*map(code, tokens(t)), _END], dtype=np.int64) for t in texts[a:b]]
                     ids, h1, h2 = contexts(sequences)
+                    h1, h2 = m.entries[h1], m.entries[h2]
                     seed = zlib.crc32(ids[:4096].tobytes(), seed)
                     rng = np.random.default_rng(seed)
                     order = rng.permutation(len(ids))
@@ -261,21 +347,21 @@ def _train(docs: DataFrame, model: Model) -> None:
                         train_step(m, ids[pick], h1[pick], h2[pick], rng)
                         seen += len(pick)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seed % AVERAGERS], pa.int32()), pa.array([_pack(seen, m.parameters())], pa.binary())], names=["k", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([seed % AVERAGERS], pa.int32()), pa.array([_pack(seen, m)], pa.binary())], names=["k", "p"])
 
         def average(batches):
             total = None
             for batch in batches:
                 for x in batch.column(1).to_pylist():
-                    x = np.frombuffer(x)
-                    total = x.copy() if total is None else total + x
+                    x = np.frombuffer(x, np.float32).astype(np.float64)
+                    total = x if total is None else total + x
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["k", "p"])
 
         schema = "k int, p binary"
         sums = docs.select("text").mapInArrow(trimmed(run), schema).repartition(AVERAGERS, "k").mapInArrow(trimmed(average), schema).collect()
         if sums:
-            model.set_parameters(_unpack(sum(np.frombuffer(bytes(r["p"])) for r in sums), model.parameters()))
+            model.set_parameters(_unpack(sum(np.frombuffer(bytes(r["p"]), np.float32).astype(np.float64) for r in sums), model))
         shared.unpersist()
 
 
@@ -309,7 +395,7 @@ def fit(docs: DataFrame, usable: Column) -> tuple[Model, DataFrame]:
             end = r["n"]
         else:
             tokens_of[r["b"]], words_of[r["b"]] = r["n"], r["v"]
-    for w, n in head[:VOCAB]:
+    for w, n in head[: with_vectors(head)]:
         tokens_of[bucket(w)] -= n
         words_of[bucket(w)] -= 1
     model = Model(head, end, total, distinct, tokens_of, words_of)
@@ -338,12 +424,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 numbered = [list(map(number.__getitem__, tokens(t))) for t in texts[a:b]]
                 distinct, end = list(number), len(number)
                 counts = np.array([m.counts.get(w, -1) for w in distinct] + [m.end], dtype=np.int64)
-                entry = np.array([m.entry(w) for w in distinct] + [_END], dtype=np.int64)
+                code = np.array([m.code(w) for w in distinct] + [_END], dtype=np.int64)
                 near = counts >= 0
-                classed = near & (entry > VOCAB)
+                classed = near & (code > VOCAB) & (code < _GROUP)
                 base = np.where(near, np.log10((counts.clip(0) + 0.5) / m.denominator()), 0.0)
                 base[end] = end_base
-                at = (entry - VOCAB - 1).clip(0)
+                at = (code - VOCAB - 1).clip(0, BUCKETS - 1)
                 share = np.where(classed, np.log10((counts.clip(0) + 0.5) / (m.bucket_tokens[at] + 0.5 * (m.bucket_words[at] + 1))), 0.0)
                 known_word = near.copy()
                 known_word[end] = m.end > 0
@@ -357,8 +443,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 far = np.flatnonzero(~near[flat_number])
                 pair, far_n = np.unique(np.repeat(np.arange(a, b), sizes)[far] * (end + 1) + flat_number[far], return_counts=True)
                 far_doc, far_word = pair // (end + 1), [distinct[k] for k in (pair % (end + 1)).tolist()]
-                flat, h1, h2 = contexts(np.split(entry[flat_number], first[1:]))
-                neural = np.add.reduceat(m.log10_probabilities(flat, h1, h2).astype(np.float64), first)
+                flat, h1, h2 = contexts(np.split(code[flat_number], first[1:]))
+                neural = np.add.reduceat(m.log10_probabilities(flat, m.entries[h1], m.entries[h2]).astype(np.float64), first)
                 n = b - a
                 rows = np.concatenate((np.arange(row, row + n), row + far_doc - a)).astype(np.int64)
                 row += n
