@@ -14,7 +14,7 @@ level is the word within its group.  A context of two entries of the first level
 one vector h = C1 r[h1] + C2 r[h2] on both levels: score(w | h) = h . q[w] + b[w].
 Training is one pass over all training texts in each of ``ROUNDS`` rounds: every partition runs
 stochastic gradient steps of NCE in numpy, on the first level with noise shared by a batch (the unigram
-distribution), within a group with ``NEAR_NOISE`` words of the group for each token; parameters
+distribution), within a group with ``NEAR_NOISE`` of its words; parameters
 are averaged, weighted by tokens (a word's vectors within its group by its steps).  Scores are exact log probabilities: batched
 matrix products give the normaliser of each pair of context entries once per worker, and that
 of a token's group for each token.  Within a class, a word has its smoothed share of the class's
@@ -249,26 +249,43 @@ def _summed(rows: int, index: np.ndarray, grad: np.ndarray) -> np.ndarray:
 
 
 def _near_step(m: Model, words: np.ndarray, h: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """NCE of words within their groups, an Adagrad step on the rows met; returns h's gradient."""
-    g = m.group[words]
-    low, high = m.sums[m.first[g]], m.sums[m.first[g + 1]]
-    noise = np.searchsorted(m.sums, low[:, None] + rng.random((len(words), NEAR_NOISE)) * (high - low)[:, None], side="right") - 1
-    rows = np.column_stack((words, np.clip(noise, m.first[g][:, None], m.first[g + 1][:, None] - 1)))
-    q = m.near_q[rows]
-    s = np.matmul(q, h[:, :, None])[:, :, 0] + m.near_bias[rows] - m.near_noise[rows]
-    slope = -1 / (1 + np.exp(-s.clip(-30, 30)))
-    slope[:, 0] += 1
-    grad = np.concatenate((slope[:, :, None] * h[:, None, :], slope[:, :, None], np.ones_like(slope)[:, :, None]), axis=2)
-    where, sums = _sums(rows.ravel(), grad.reshape(-1, SIZE + 2))
-    m.near_steps[where] += sums[:, -1]
-    sums = sums[:, :-1]
+    """NCE of words within their groups, an Adagrad step on the rows met; returns h's gradient.
+
+    The noise of a group is shared by its words of the batch.
+    """
+    order = np.argsort(words.astype(np.uint16), kind="stable")
+    words, h = words[order], h[order]
+    g = m.group[words]  # groups are runs of words
+    new = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(words))))
+    first, last = m.first[g[new]][:, None], m.first[g[new] + 1][:, None]
+    low, high = m.sums[first], m.sums[last]
+    noise = np.searchsorted(m.sums, low + rng.random((len(new), NEAR_NOISE)) * (high - low), side="right") - 1
+    noise = np.clip(noise, first, last - 1)
+    q, qn = m.near_q[words], m.near_q[noise][of]
+    shift = m.near_bias - m.near_noise
+    up = 1 / (1 + np.exp((np.einsum("ij,ij->i", h, q) + shift[words]).clip(-30, 30)))
+    down = -1 / (1 + np.exp(-(np.einsum("ij,ikj->ik", h, qn) + shift[noise][of]).clip(-30, 30)))
+    wide = np.ones((len(words), SIZE + 2), dtype=np.float32)  # h, and columns for the bias and the steps
+    wide[:, :SIZE] = h
+    own = wide * up[:, None]
+    own[:, -1] = 1
+    other = down[:, :, None] * wide[:, None, :]
+    other[:, :, -1] = 1
+    other = np.add.reduceat(other.reshape(len(words), -1), new, axis=0).reshape(-1, SIZE + 2)
+    where, sums = _sums(np.concatenate((words, noise.ravel())), np.concatenate((own, other)))
     if m.near_squares is None:
         m.near_squares = np.ones((len(m.near_bias), SIZE + 1), dtype=np.float32)
-    m.near_squares[where] += sums * sums
-    step = np.float32(NEAR_RATE) * sums / np.sqrt(m.near_squares[where])
+    m.near_steps[where] += sums[:, -1]
+    sums = sums[:, :-1]
+    squares = m.near_squares[where] + sums * sums
+    m.near_squares[where] = squares
+    step = np.float32(NEAR_RATE) * sums / np.sqrt(squares)
     m.near_q[where] += step[:, :SIZE]
     m.near_bias[where] += step[:, SIZE]
-    return np.matmul(slope[:, None, :], q)[:, 0]
+    out = np.empty_like(h)
+    out[order] = up[:, None] * q + np.einsum("ik,ikj->ij", down, qn)
+    return out
 
 
 def train_step(m: Model, codes: np.ndarray, h1: np.ndarray, h2: np.ndarray, rng: np.random.Generator) -> None:
