@@ -380,6 +380,10 @@ def test_lm_words_are_told_apart_within_their_group_by_context():
     assert score(one, 3) > score(two, 3) + 0.5 and score(two, 9) > score(one, 9) + 0.5
 
 
+def test_lm_averaging_tree_narrows():
+    assert [lm_scoring._levels(n) for n in (1, 16, 33, 300, 100_000)] == [[1], [1], [3], [19, 2], [6250, 391, 25, 2]]
+
+
 def test_lm_parameters_are_averaged_by_steps():
     head = [(f"w{k}".encode(), 1000) for k in range(lm_scoring.VOCAB + 3)]
     tasks = [lm_scoring.Model(head, 1, 10, 10, np.zeros(lm_scoring.BUCKETS), np.zeros(lm_scoring.BUCKETS)) for _ in range(3)]

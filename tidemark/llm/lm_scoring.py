@@ -56,8 +56,8 @@ RATE = 0.2
 NEAR_RATE = 0.1
 ROUNDS = 1
 FLUSH = 300_000
-#: Number of tasks whose parameters are averaged at once on an executor.
-AVERAGERS = 8
+#: Parameters that one task averages, and that the driver gets at most.
+FAN = 16
 #: Tokens whose groups are normalised at once.
 NEAR_BATCH = 1 << 14
 _END = VOCAB
@@ -337,8 +337,16 @@ def _unpack(total: np.ndarray, m: Model) -> list[np.ndarray]:
     return out
 
 
+def _levels(tasks: int) -> list[int]:
+    """Numbers of averaging tasks, level by level, until the driver can take the rest."""
+    out = [-(-tasks // FAN)]
+    while out[-1] > FAN:
+        out.append(-(-out[-1] // FAN))
+    return out
+
+
 def _train(docs: DataFrame, model: Model) -> None:
-    """ROUNDS passes over all texts; one set of parameters per task, averaged in two steps."""
+    """ROUNDS passes over all texts; one set of parameters per task, averaged by a tree."""
     for _ in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -364,19 +372,22 @@ def _train(docs: DataFrame, model: Model) -> None:
                         train_step(m, ids[pick], h1[pick], h2[pick], rng)
                         seen += len(pick)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seed % AVERAGERS], pa.int32()), pa.array([_pack(seen, m)], pa.binary())], names=["k", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([seed & 0x7FFFFFFF], pa.int32()), pa.array([_pack(seen, m)], pa.binary())], names=["k", "p"])
 
         def average(batches):
-            total = None
+            total, key = None, 0
             for batch in batches:
-                for x in batch.column(1).to_pylist():
+                for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     x = np.frombuffer(x, np.float32).astype(np.float64)
-                    total = x if total is None else total + x
+                    total, key = (x, k) if total is None else (total + x, key)
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["k", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["k", "p"])
 
         schema = "k int, p binary"
-        sums = docs.select("text").mapInArrow(trimmed(run), schema).repartition(AVERAGERS, "k").mapInArrow(trimmed(average), schema).collect()
+        parts = docs.select("text").mapInArrow(trimmed(run), schema)
+        for n in _levels(parts.rdd.getNumPartitions()):
+            parts = parts.withColumn("k", F.col("k") % n).repartition(n, "k").mapInArrow(trimmed(average), schema)
+        sums = parts.collect()
         if sums:
             model.set_parameters(_unpack(sum(np.frombuffer(bytes(r["p"]), np.float32).astype(np.float64) for r in sums), model))
         shared.unpersist()
