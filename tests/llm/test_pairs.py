@@ -1,15 +1,21 @@
 import itertools
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, linededup, ngram_join
 from tidemark.llm.common import shingle_sets
+from tidemark.llm.oracles import OP3
+from tidemark.llm.queries import op3_substring_dedup
 
 from .conftest import sentence
 
+DATA = Path("/root/testdata/sf0.001")
+
 
 def shingles(text):
     w = (text or "").encode().lower().split()
@@ -197,6 +203,46 @@ def test_repeated_passages_go_and_spans_rebuild_the_text(spark, odd_docs, empty_
     assert plain.columns == docs.columns and sorted(str(r["text"]) for r in plain.collect()) == sorted(map(str, want))
 
 
+def test_dedup_looks_at_every_word(spark):
+    """Passages go whole wherever they stand, even where no word of theirs was a place at which units began."""
+    bare = " ".join(w for w in sentence(31, 900).split() if (len(w) + ord(w[-1])) % 4)
+    passages = [" ".join(bare.split()[k * 40 : k * 40 + n]) for k, n in enumerate((32, 33, 40, 31))]
+    rows = [(k, f"{sentence(40 + k, 50)} {p} {sentence(50 + k, 50)}") for k, p in enumerate(passages)]
+    rows += [(10 + k, f"{sentence(60 + k, 50)} {p} {sentence(70 + k, 50)}") for k, p in enumerate(passages)]
+    rows += [(20, "x " * 100 + "end"), (21, "start " + "x " * 40 + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup(docs, offsets=True).collect()}
+    for k, p in enumerate(passages):
+        assert found[k] == (rows[k][1], 0)
+        assert found[10 + k] == ((rows[4 + k][1].replace(p, ""), 1) if k < 3 else (rows[4 + k][1], 0))
+    assert found[20] == ("x  end", 1) and found[21] == ("start  y", 1)
+
+
+@pytest.mark.parametrize("anchor", [1, 4])
+def test_dedup_of_edited_copies_equals_brute_force(spark, monkeypatch, anchor):
+    rng = random.Random(6)
+    base = [sentence(600 + k, rng.choice([40, 90, 300])).replace(" ", "\n", 2) for k in range(12)]
+    rows = [(k, sentence(700 + k, rng.choice([0, 9])) + " " + edited(base[k % 12], rng.choice([0, 0.01, 0.03]), rng) + rng.choice([" ", "\n"]) + edited(base[k % 5], 0.01, rng)) for k in range(120)]
+    rows += [(200 + k, " ".join(rng.choice(["a", "bc"]) for _ in range(400)) + " " + "d e f " * 30) for k in range(6)]
+    monkeypatch.setattr(linededup, "ANCHOR", anchor)
+    want = cut_by_force(rows)
+    found = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), anchor=anchor).collect()}
+    assert [found[d] for d, _ in rows] == want and sum(t != w for (_, t), w in zip(rows, want)) > 60
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_dedup_of_whole_documents_equals_sql(spark):
+    """The query equals its SQL; the operator equals the SQL without its choice of words."""
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    assert OP3.count("where picked and words") == 1
+    whole = linededup.dedup(spark.read.parquet(f"{DATA}/documents.parquet"), offsets=True).selectExpr("doc_id", "text", "n_removed", "array_join(transform(kept_spans, s -> concat(s.start, '-', s.stop)), ';') as kept_spans")
+    for found, sql in ((op3_substring_dedup(spark, str(DATA)), OP3), (whole, OP3.replace("where picked and words", "where words"))):
+        assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, db.execute(sql).fetchall()))
+
+
 def test_dedup_of_odd_rows(spark, odd_docs, empty_docs):
     clashing = odd_docs.withColumns({c: F.lit("x") for c in ("kept_spans", "n_removed", "id", "th", "spans", "__id", "__th", "__spans", "h", "g")})
     odd = linededup.dedup(clashing)
